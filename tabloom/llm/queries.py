@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import boundaries, packing, shared, tokens
+from . import boundaries, languages, ordinal, packing, sharding, shared, suffixes, tiff, tokens, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -27,3 +28,38 @@ def op9_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
     stored = shared.settle(boundaries.blocks(docs, tokens.vocabulary("byte_bpe_50k.json")), "op9-ids")
     return boundaries.read(stored)
+
+
+@query
+def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.interleave(shared.table(spark, sf_dir, "documents")).drop("source")
+
+
+@query
+def op3_redirect_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(shared.table(spark, sf_dir, "pages")).drop("alias_verdict")
+
+
+@query
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", ordinal.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    return ordinal.score(docs, ordinal.train(docs, ratings))
+
+
+@query
+def op5_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(shared.table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = shared.settle(tiff.write_texts(shared.table(spark, sf_dir, "documents")), "op6-media")
+    return tiff.read_files(media)
+
+
+@query
+def op8_suffix_array_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark")
+    found = suffixes.decontaminate(docs, items)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

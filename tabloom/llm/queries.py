@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boundaries, languages, ordinal, packing, sharding, shared, suffixes, tiff, tokens, urls
+from . import boundaries, jaccard, languages, ordinal, packing, privacy, sharding, shared, suffixes, tiff, tokens, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -63,3 +63,16 @@ def op8_suffix_array_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark")
     found = suffixes.decontaminate(docs, items)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op7_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.sanitise(shared.table(spark, sf_dir, "documents"))
+    terms = F.array_join(F.expr("transform(terms, x -> concat('term:', x.s, ':', x.e))"), ",")
+    both = F.concat("base", F.when((F.col("base") != "") & (F.size("terms") > 0), ",").otherwise(""), terms)
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), both.alias("spans"))
+
+
+@query
+def op10_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_components(shared.table(spark, sf_dir, "documents"))

@@ -99,28 +99,28 @@ def search(seq: np.ndarray, array: np.ndarray, rows: np.ndarray, lengths: np.nda
     return bound(False), bound(True)
 
 
-def match_shard(ids: np.ndarray, doc_of: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hit by word, pairs of document and item, longest runs).
+def match_shard(ids: np.ndarray, doc_of: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(hit by word, longest runs).
 
-    ``ids``: word numbers with a 0 after each document. The third result has a row (document, item, first word in the
+    ``ids``: word numbers with a 0 after each document. The second result has a row (document, item, first word in the
     shard, words) for the longest verbatim match of each pair, windows that overlap along one alignment being joined."""
     n = len(ids)
     hit = np.zeros(n, dtype=bool)
-    none = np.zeros((0, 2), np.int64), np.zeros((0, 4), np.int64)
+    none = np.zeros((0, 4), np.int64)
     if not len(items.rows) or not n:
-        return hit, *none
+        return hit, none
     known = np.concatenate([[False], ids != 0, [False]])
     opens, closes = np.flatnonzero(known[1:] & ~known[:-1]), np.flatnonzero(known[:-1] & ~known[1:])
     long_ = closes - opens >= items.least  # a shorter stretch of known words holds no window
     opens, lens = opens[long_], (closes - opens)[long_]
     starts = np.repeat(opens - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
     if not len(starts):
-        return hit, *none
+        return hit, none
     array = suffix_array(ids, starts, items.window)
     lo, hi = search(ids, array, items.rows, items.lengths)
     w = np.flatnonzero(hi > lo)
     if not len(w):
-        return hit, *none
+        return hit, none
     counts = (hi - lo)[w]
     which = np.repeat(w, counts)
     at = array[np.repeat(lo[w], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
@@ -143,7 +143,7 @@ def match_shard(ids: np.ndarray, doc_of: np.ndarray, items: Items) -> tuple[np.n
     runs = runs[np.lexsort((runs[:, 2], -runs[:, 3], runs[:, 1], runs[:, 0]))]
     keep = np.ones(len(runs), bool)
     keep[1:] = (runs[1:, :2] != runs[:-1, :2]).any(axis=1)
-    return hit, runs[keep][:, :2], runs[keep]
+    return hit, runs[keep]
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -159,56 +159,91 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield block
 
 
+def _matcher(held: list, window: int, shard_words: int, carry: int):
+    """A mapInArrow function over batches whose last column is the text; the first ``carry`` columns are kept.
+
+    With ``carry`` columns kept it passes rows on with one more column, n_hit; without, it gives the rows of
+    ``decontaminate``, the first column being the id."""
+
+    def matched(seqs):
+        lens = np.array([len(s) for s in seqs], np.int64)
+        starts = np.cumsum(lens + 1) - lens - 1
+        hit = np.zeros(int((lens + 1).sum()), bool)
+        doc_of = np.repeat(np.arange(len(seqs)), lens + 1)
+        matches: list[list[dict]] = [[] for _ in seqs]
+        for b in held:
+            items = b.value
+            get = items.vocabulary.get
+            ids = np.zeros(len(hit), np.int32)
+            for s, at in zip(seqs, starts.tolist(), strict=True):
+                ids[at : at + len(s)] = np.fromiter(map(get, s, repeat(0)), np.int32, len(s))
+            h, runs = match_shard(ids, doc_of, items)
+            hit |= h
+            for d, i, pos, n in runs.tolist():
+                matches[d].append({"item_id": items.names[i], "first": pos - int(starts[d]), "words": n})
+            if len(held) > 1:
+                del b._value, items, get  # one block in memory at a time; it is read again from the local disk
+        return lens, np.add.reduceat(hit.astype(np.int64), starts), [sorted(m, key=lambda x: (x["item_id"], x["first"])) for m in matches]
+
+    def run(batches):
+        import pyarrow as pa
+
+        struct = pa.struct([("item_id", pa.string()), ("first", pa.int64()), ("words", pa.int64())])
+
+        def closed(slices, seqs):
+            n_words, n_hit, matches = matched(seqs)
+            rows = pa.Table.from_batches(slices).combine_chunks().to_batches()[0]
+            if carry:
+                return pa.RecordBatch.from_arrays([*rows.columns[:carry], pa.array(n_hit)], [*rows.schema.names[:carry], "n_hit"])
+            names = [sorted(x["item_id"] for x in m) for m in matches]
+            return pa.RecordBatch.from_arrays([rows.column(0), pa.array(n_words), pa.array(n_hit), pa.array(names, pa.list_(pa.string())), pa.array(matches, pa.list_(struct))], ["doc_id", "n_words", "n_hit", "items", "matches"])
+
+        slices, seqs, total = [], [], 0
+        for batch in batches:
+            first = 0
+            for i, text in enumerate(batch.column(batch.num_columns - 1)):
+                seqs.append(words(text.as_py()))
+                total += len(seqs[-1]) + 1
+                if total >= shard_words:
+                    yield closed([*slices, batch.slice(first, i + 1 - first)], seqs)
+                    slices, seqs, total, first = [], [], 0, i + 1
+            if first < batch.num_rows:
+                slices.append(batch.slice(first))
+        if seqs:
+            yield closed(slices, seqs)
+
+    return run
+
+
+def _held(docs: DataFrame, items: DataFrame, window: int, block_bytes: int, item_id_col: str, item_text_col: str) -> list:
+    blocks = item_blocks(items.where(F.col(item_id_col).isNotNull()), item_id_col, item_text_col, block_bytes)
+    return [docs.sparkSession.sparkContext.broadcast(Items(b, window)) for b in blocks]
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = 1_000_000, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, items (sorted ids of the items that have a window in it), matches.
 
     ``matches`` has (item_id, first, words) for the longest verbatim match with each of these items, ``first`` being the
     number of the document's word it begins at. A word is hit if it lies in any occurrence of a window of ``window`` words of
     an item, or of a whole shorter item. Null and empty texts have no words; items without words or with a null id are left
-    out; equal items each count; documents may repeat."""
-    spark = docs.sparkSession
+    out; items of equal text each count; documents may repeat."""
+    held = _held(docs, items, window, block_bytes, item_id_col, item_text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = item_blocks(items.where(F.col(item_id_col).isNotNull()), item_id_col, item_text_col, block_bytes)
-    held = [spark.sparkContext.broadcast(Items(b, window)) for b in blocks] or [spark.sparkContext.broadcast(Items([], window))]
+    return rows.mapInArrow(_matcher(held, window, shard_words, 0), "doc_id long, n_words long, n_hit long, items array<string>, matches array<struct<item_id:string,first:long,words:long>>")
 
-    def run(batches):
-        import pyarrow as pa
 
-        def closed(doc_ids, seqs):
-            lens = np.array([len(s) for s in seqs], np.int64)
-            starts = np.cumsum(lens + 1) - lens - 1
-            hit = np.zeros(int((lens + 1).sum()), bool)
-            names: list[list[str]] = [[] for _ in seqs]
-            matches: list[list[dict]] = [[] for _ in seqs]
-            doc_of = np.repeat(np.arange(len(seqs)), lens + 1)
-            for b in held:
-                items = b.value
-                get = items.vocabulary.get
-                ids = np.zeros(len(hit), np.int32)
-                for s, at in zip(seqs, starts.tolist(), strict=True):
-                    ids[at : at + len(s)] = np.fromiter(map(get, s, repeat(0)), np.int32, len(s))
-                h, _, runs = match_shard(ids, doc_of, items)
-                hit |= h
-                for d, i, pos, n in runs.tolist():
-                    names[d].append(items.names[i])
-                    matches[d].append({"item_id": items.names[i], "first": pos - int(starts[d]), "words": n})
-                if len(held) > 1:
-                    del b._value, items, get  # one block in memory at a time; it is read again from the local disk
-            sums = np.add.reduceat(hit.astype(np.int64), starts) if len(seqs) else []
-            return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "n_words": pa.array(lens), "n_hit": pa.array(sums, pa.int64()), "items": pa.array([sorted(x) for x in names], pa.list_(pa.string())), "matches": pa.array([sorted(m, key=lambda x: x["item_id"]) for m in matches], pa.list_(pa.struct([("item_id", pa.string()), ("first", pa.int64()), ("words", pa.int64())])))})
-
-        doc_ids, seqs, total = [], [], 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = words(text.as_py())
-                doc_ids.append(doc)
-                seqs.append(s)
-                total += len(s) + 1
-                if total >= shard_words:
-                    yield closed(doc_ids, seqs)
-                    doc_ids, seqs, total = [], [], 0
-        if seqs:
-            yield closed(doc_ids, seqs)
+def select_clean(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = 1_000_000, block_bytes: int = 4 << 20, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no window of any item occurs, with the columns of ``docs``."""
+    from pyspark.sql import types as T
+
+    held = _held(docs, items, window, block_bytes, item_id_col, item_text_col)
+    n = "n_hit_" + "_".join(docs.columns)  # clashes with no column
+    rows = docs.withColumn("text_" + n, F.col(text_col).cast("string"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(n, T.LongType())])
+    run, names = _matcher(held, window, shard_words, len(docs.columns)), [*docs.columns, n]
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, matches array<struct<item_id:string,first:long,words:long>>")
+    def named(batches):
+        for b in run(batches):
+            yield b.rename_columns(names)
 
+    return rows.mapInArrow(named, schema).where(F.col(n) == 0).drop(n)

@@ -1,8 +1,13 @@
-"""Token ids of whole texts by a public tokenizer, with a cache of the pieces between single spaces.
+"""Token ids of whole texts by a public tokenizer, with a cache of the pieces between spaces.
 
-Both supported vocabularies split a text into words before merging, and a single space between two characters that
-are not white space always starts a new word. Cutting there and joining the ids of the parts therefore gives the ids
-of the whole text; texts in which white space touches a space are encoded whole, so nothing is assumed about them.
+Both supported vocabularies split a text into words before merging. In the byte-level one a single space between two
+characters that are not white space always starts a new word; in the other one white space always parts words and is
+dropped, and letters are lower-cased. Marks that end a piece after a letter or digit are a word of their own in both.
+Cutting at these places and joining the ids of the parts therefore gives the ids of the whole text. Texts for which this
+is not so plain (white space that touches a space, separators that only one side takes for white space) are encoded whole.
+
+Pieces that are not in the cache are encoded together, in one call for each text, where their ids can be told apart:
+tokens that begin with a space mark the beginning of a piece, tokens that end a word its end.
 """
 
 from __future__ import annotations
@@ -12,53 +17,122 @@ import re
 import numpy as np
 
 _TOUCHING = re.compile(r"\s\s")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = ".,;:!?"
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-class _Cache(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit bytes. When full it becomes the old generation, from which
-    pieces still in use are taken over, so memory is bounded and common pieces stay."""
-
-    def __init__(self, encode, before: str, most: int):
-        super().__init__()
-        self._encode, self._before, self._most, self._old = encode, before, most, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self._old.get(piece)
-        if ids is None:
-            ids = self._encode(self._before + piece)
-        if len(piece) <= 64:
-            if len(self) >= self._most:
-                self._old = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class Encoder:
-    """``ids(text)``: bytes of little-endian unsigned 32-bit ids, equal to encoding the whole text at once."""
+    """``ids(text)``: bytes of little-endian unsigned 32-bit ids, equal to encoding the whole text at once.
 
-    def __init__(self, path: str, cache: int = 400_000):
+    The cache has two generations of at most ``cache`` pieces: when the new one is full it becomes the old one, from which
+    pieces still in use are taken over. So memory is bounded and common pieces stay."""
+
+    def __init__(self, path: str, cache: int = 600_000):
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._first = _Cache(self._whole, "", cache // 4)
-        self._later = _Cache(self._whole, " ", cache)
+        self._most, self._new, self._old, self._mark_ids = cache, {}, {}, {}
+        names = self._tok.get_vocab()
+        self._opens, self._ends = (np.zeros(max(names.values()) + 1, bool) for _ in range(2))
+        for name, i in names.items():
+            self._opens[i], self._ends[i] = name.startswith("Ġ"), name.endswith("</w>")
+        self._by_word = bool(self._ends.any())
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self._tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self._tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def _marks(self, marks: str) -> bytes:
+        """Ids of a few marks that follow a letter or digit."""
+        ids = self._mark_ids.get(marks)
+        if ids is None:
+            ids = self._whole(marks)
+            if len(marks) < 4:
+                self._mark_ids[marks] = ids
+        return ids
+
+    def _together(self, pieces: list[str]) -> None:
+        """Put the ids of these pieces, with a space before each, into the new generation."""
+        many = [p for p in pieces if _LETTERS.fullmatch(p)] if self._by_word else [p for p in pieces if p]
+        if len(many) > 1:
+            ids = np.array(self._tok.encode_batch_fast([" " + " ".join(many)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.append(0, np.flatnonzero(self._ends[ids]) + 1) if self._by_word else np.append(np.flatnonzero(self._opens[ids]), len(ids))
+            if len(cuts) != len(many) + 1 or cuts[0] or cuts[-1] != len(ids):
+                raise AssertionError("pieces can't be told apart")
+            blob, at = ids.tobytes(), (4 * cuts).tolist()
+            self._new.update(zip(many, [blob[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+        for p in pieces:
+            if p not in self._new:
+                self._new[p] = self._whole(" " + p)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _TOUCHING.search(text):
-            return self._whole(text)
-        first, *later = text.split(" ")
-        return self._first[first] + b"".join(map(self._later.__getitem__, later))
-
-
-def encoder(path: str, cache: int = 400_000) -> Encoder:
+        first = b""
+        if self._by_word:
+            if _SEPARATORS.search(text):
+                return self._whole(text)
+            try:
+                text.encode("latin-1")
+                text = text.lower()  # of these letters as the tokenizer does it
+            except UnicodeEncodeError:
+                pass
+            pieces = text.split()
+        else:
+            if _TOUCHING.search(text):
+                return self._whole(text)
+            head, _, text = text.partition(" ")
+            first = self._whole(head)
+            if not _:
+                return first
+            pieces = text.split(" ")
+        new, old = self._new, self._old
+        parts = list(map(new.get, pieces))
+        open_, wanted, at = [], {}, 0
+        try:
+            while True:
+                at = parts.index(None, at)
+                piece = pieces[at]
+                ids = old.get(piece)
+                if ids is None:
+                    base = piece.rstrip(_MARKS)
+                    if len(base) < len(piece) and base and base[-1].isalnum():
+                        if base not in new and base not in wanted:
+                            ids = old.get(base)
+                            if ids is None:
+                                wanted[base] = None
+                            else:
+                                new[base] = ids
+                        open_.append((at, base, piece))
+                    else:
+                        wanted[piece] = None
+                        open_.append((at, piece, piece))
+                else:
+                    new[piece] = parts[at] = ids
+                at += 1
+        except ValueError:
+            pass
+        if open_:
+            if wanted:
+                self._together(list(wanted))
+            for at, base, piece in open_:
+                ids = new[base]
+                if base is not piece:
+                    ids += self._marks(piece[len(base) :])
+                    if len(piece) <= 64:
+                        new[piece] = ids
+                parts[at] = ids
+        out = first + b"".join(parts)
+        for p in [p for p in wanted if len(p) > 64]:
+            del new[p]
+        if len(new) >= self._most:
+            self._old, self._new = new, {}
+        return out
+
+
+def encoder(path: str, cache: int = 600_000) -> Encoder:
     """One encoder for each Python worker and vocabulary file."""
     key = (path, cache)
     if key not in _ENCODERS:

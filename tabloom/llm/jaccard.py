@@ -89,7 +89,8 @@ def common_cells(rows: DataFrame, width: int, bits: int, least: int, batch: int
     """A bit for each of 2**bits cells of the hashes: does it hold markedly more document-shingle pairs than others?
 
     A task adds up counts for some million shingles at a time and sends, for each chunk of 65536 cells, the cells in use;
-    chunks are added up where they meet. What comes back has 2**bits / 8 bytes, whatever the input."""
+    chunks are added up where they meet, and a cell is common at ``least`` pairs and four times the mean of its chunk. What
+    comes back has 2**bits / 8 bytes, whatever the input."""
     chunk_bits = min(16, bits)
 
     def count(batches):
@@ -126,7 +127,8 @@ def common_cells(rows: DataFrame, width: int, bits: int, least: int, batch: int
         now, total = None, None
 
         def done():
-            return pa.RecordBatch.from_pydict({"chunk": pa.array([now], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+            common = total >= max(least, 4 * int(total.sum(dtype=np.int64)) >> chunk_bits)
+            return pa.RecordBatch.from_pydict({"chunk": pa.array([now], pa.int32()), "bits": pa.array([np.packbits(common).tobytes()], pa.binary())})
 
         for b in batches:
             for chunk, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -143,28 +145,11 @@ def common_cells(rows: DataFrame, width: int, bits: int, least: int, batch: int
         if now is not None:
             yield done()
 
-    sums = shared.settle(rows.mapInArrow(count, "chunk int, blob binary").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(added, "chunk int, counts binary"), "jaccard-cells")
-
-    def marked(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            out = [np.packbits(np.frombuffer(x.as_py(), "<u4") >= at_least).tobytes() for x in b.column(1)]
-            yield pa.RecordBatch.from_pydict({"chunk": b.column(0), "bits": pa.array(out, pa.binary())})
-
-    def summed(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([int(np.frombuffer(x.as_py(), "<u4").sum(dtype=np.int64)) for x in b.column(1)], pa.int64())})
-
-    total = sums.mapInArrow(summed, "n long").agg(F.sum("n")).first()[0] or 0
-    at_least = max(least, 4 * total // (1 << bits))
+    marks = rows.mapInArrow(count, "chunk int, blob binary").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(added, "chunk int, bits binary")
     out = np.zeros((1 << bits) // 8 or 1, np.uint8)
     size = (1 << chunk_bits) // 8 or 1
-    for chunk, blob in sums.mapInArrow(marked, "chunk int, bits binary").toLocalIterator():
+    for chunk, blob in marks.collect():  # 2**bits / 8 bytes in all
         out[chunk * size : (chunk + 1) * size] = np.frombuffer(blob, np.uint8)
-    shared.discard(sums)
     return out
 
 

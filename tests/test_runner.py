@@ -1,0 +1,163 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tabloom.frame import ROW_ID
+from tabloom.operators import encoders
+from tabloom.plans import models, runner
+from tabloom.sources import io, store
+from tabloom.streaming import fitted
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    df = spark.range(300).select(F.col("id").alias(ROW_ID), (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("string").alias("c"))
+    y = (F.col("a") + F.when(F.col("c") == "2", 6).otherwise(0) > 9).cast("double")
+    df = df.withColumn("y", y)
+    train = df.where(F.col(ROW_ID) < 200)
+    return train.drop("y"), train.select(ROW_ID, "y"), df.where(F.col(ROW_ID) >= 200).drop("y")
+
+
+CONFIG = {"run_name": "t", "model_name": "ModelRFClassifier", "evaluation_metric": "auc", "n_splits": 3, "cols_definition": {"target_col": "y", "categorical_col": ["c"]}, "model_params": {"n_estimators": 5, "max_depth": 4}}
+
+
+def test_run(spark, data, tmp_path):
+    r = runner.Runner(spark, CONFIG, data, str(tmp_path))
+    out = r.run_train_cv()
+    assert len(out["scores"]) == 3 and out["score"] > 0.95
+    assert r.oof().count() == 200 and r.oof().select(ROW_ID).distinct().count() == 200
+    pred = r.run_predict_cv()
+    assert pred.count() == 100 and pred.where("pred < 0 or pred > 1").count() == 0
+    assert {x.feature for x in spark.read.parquet(f"{tmp_path}/importance").collect()} == {"a", "c"}
+    sample = data[2].select(F.col(ROW_ID).alias("id"), F.lit(0.0).alias("y"))
+    r.submission(sample, "id", "y")
+    assert io.read_csv(spark, f"{tmp_path}/submission").count() == 100
+    kinds = {x.kind for x in spark.read.parquet(f"{tmp_path}/runs").collect()}
+    assert kinds == {"param", "metric"}
+
+
+def test_modes(spark, data, tmp_path):
+    base = runner.Runner(spark, CONFIG, data, str(tmp_path / "a"))
+    base.run_train_cv()
+    base.run_predict_cv()
+    advanced = {"ResRunner": {"oof": base.oof(), "res_threshold": 0.4}, "PseudoRunner": {"run": f"{tmp_path}/a/pred", "pl_threshold": 0.2}, "predict_exp": True}
+    r = runner.Runner(spark, {**CONFIG, "advanced": advanced}, data, str(tmp_path / "b"))
+    rows = r.folded().where("fold <> 0").drop("fold")
+    more = r._training_rows(rows)
+    kept = runner.residual_filter(rows, base.oof(), 0.4).count()
+    assert kept <= rows.count() and more.count() > kept and more.where("y not in (0, 1)").count() == 0
+    assert r.run_train_cv()["score"] > 0.9
+    for threshold in ({"pl_threshold": None}, {"pl_threshold_neg": 0.1, "pl_threshold_pos": 0.9}):
+        q = runner.Runner(spark, {**CONFIG, "advanced": {"PseudoRunner": {"run": f"{tmp_path}/a/pred", **threshold}}}, data, str(tmp_path / "c"))
+        assert q._training_rows(rows).count() > rows.count()
+    adv = runner.Runner(spark, {**CONFIG, "advanced": {"adversarial_validation": True}}, data, str(tmp_path / "d"))
+    assert {x.y: x["count"] for x in adv.train.groupBy("y").count().collect()} == {0.0: 200, 1.0: 100}
+
+
+def test_config_is_checked():
+    for bad in ({"model_name": "Nope"}, {"evaluation_metric": "nope"}):
+        with pytest.raises(ValueError):
+            runner.RunConfig.of({**CONFIG, **bad})
+
+
+@pytest.mark.parametrize("name, params", [("ModelLGBM", {"objective": "binary", "num_boost_round": 5}), ("ModelXGB", {"objective": "binary:logistic", "num_round": 5}), ("ModelCatClassifier", {"iterations": 5}), ("ModelCatRegressor", {"iterations": 5}), ("ModelFocalLGBM", {"num_boost_round": 6}), ("ModelRFRegressor", {}), ("ModelRIDGE", {"alpha": 1.0}), ("ModelSVM", {}), ("ModelKNN", {"n_neighbors": 3}), ("ModelNN", {"epochs": 30})])
+def test_models_learn_and_load(spark, data, tmp_path, name, params):
+    x, y, test = data
+    rows = x.join(y, ROW_ID)
+    tr, va = rows.where(F.col(ROW_ID) % 4 != 0), rows.where(F.col(ROW_ID) % 4 == 0)
+    m = models.build(name, name, params, ["c"] if name not in ("ModelKNN", "ModelRIDGE", "ModelNN") else []).train(tr, va)
+    pred = m.predict(va)
+    from tabloom.functions import metrics
+
+    scored = pred.join(va.select(ROW_ID, "y"), ROW_ID)
+    assert metrics.evaluate(scored, "auc").first()[0] > 0.8
+    m.save(f"{tmp_path}/{name}")
+    again = models.build(name, name, params).load(f"{tmp_path}/{name}")
+    a, b = ({r[0]: r[1] for r in k.predict(test).collect()} for k in (m, again))
+    assert a == pytest.approx(b) and len(a) == 100
+
+
+def test_tuning(spark, data, tmp_path):
+    x, y, _ = data
+    rows = x.join(y, ROW_ID)
+    m = models.ModelOptunaLGBM("t", {"objective": "binary", "num_boost_round": 2})
+    m.steps = {"max_depth": (2, 3)}
+    m.train(rows.where(F.col(ROW_ID) % 4 != 0), rows.where(F.col(ROW_ID) % 4 == 0))
+    m.save_best(f"{tmp_path}/best.json")
+    assert json.loads(io.read_text(spark, f"{tmp_path}/best.json")) == m.best_params
+
+
+def test_focal_derivatives(spark):
+    rows = spark.createDataFrame([(float(y), m) for y in (0, 1) for m in (-3.0, -0.5, 0.0, 1.0, 4.0)], "y double, m double")
+    e = 1e-4
+    loss = lambda m: models.ModelFocalLGBM.loss_gradient(F.col("y"), m)
+    parts = rows.select(loss(F.col("m"))[1].alias("g"), loss(F.col("m"))[2].alias("h"), ((loss(F.col("m") + e)[0] - loss(F.col("m") - e)[0]) / (2 * e)).alias("g2"), ((loss(F.col("m") + e)[1] - loss(F.col("m") - e)[1]) / (2 * e)).alias("h2"))
+    for r in parts.collect():
+        assert r.g == pytest.approx(r.g2, rel=1e-4, abs=1e-7)
+        assert r.h == pytest.approx(max(r.h2, 1e-6), rel=1e-4, abs=1e-7)
+
+
+def test_embedding_sizes(spark, data):
+    assert models.embedding_sizes(data[0], ["c", "a"], 4) == {"c": (5, 3), "a": (17, 4)}
+
+
+def test_store(spark, data, tmp_path):
+    x, y, _ = data
+    table = x.join(y, ROW_ID).withColumn("y", F.when(F.col(ROW_ID) < 150, F.col("y")))
+    path = str(tmp_path / "te")
+    te = store.run_target_encoding("y", table, ["c"], ROW_ID, path)
+    assert set(te.columns) == {ROW_ID, "c"} and te.count() == 200
+    fs = store.FeatureStore(spark, {"raw": table, "te": te}, "y")
+    assert set(fs.table().columns) == {ROW_ID, "a", "c", "y", "te__c"}
+    assert fs.x_train().count() == fs.y_train().count() == 150 and fs.x_test().count() == 50
+    with pytest.raises(ValueError):
+        store.FeatureStore(spark, {"raw": table.drop("y")}, "y").table()
+
+
+def test_memoised(spark, tmp_path):
+    path, calls = str(tmp_path / "m"), []
+
+    def make(k):
+        def f():
+            calls.append(k)
+            return spark.range(10).withColumn("v", F.col("id") * k)
+
+        return f
+
+    assert store.memoised(spark, path, make(2)).agg(F.sum("v")).first()[0] == 90
+    stamp = spark.read.parquet(path).inputFiles()
+    assert store.memoised(spark, path, make(2)).inputFiles() == stamp
+    assert store.memoised(spark, path, make(3)).agg(F.sum("v")).first()[0] == 135  # another plan
+    out = store.run_pipeline([encoders.count_encoder(["k"])], spark.createDataFrame([(1, "a"), (2, "a")], "id long, k string"), str(tmp_path / "p"), "id")
+    assert {r.k_ce for r in out.collect()} == {2} and ROW_ID in out.columns
+
+
+def test_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b", 1.5), (2, None, None)], "id long, s string, v double")
+    io.write_csv(df, str(tmp_path / "c"), one_file=True)
+    assert sorted(map(tuple, io.read_csv(spark, str(tmp_path / "c"), df.schema).collect())) == sorted(map(tuple, df.collect()))
+    from pyarrow import feather
+
+    feather.write_feather(df.toArrow(), str(tmp_path / "f"))
+    assert io.read_feather(spark, str(tmp_path / "f")).count() == 2
+    (tmp_path / "y.yml").write_text("a: [1, 2]\n")
+    assert io.read_yaml(str(tmp_path / "y.yml")) == {"a": [1, 2]}
+    log = io.RunLog(str(tmp_path / "log"))
+    log.info("hello")
+    log.result_scores("r", [1.0, 3.0])
+    assert "name:r\tscore:2.0\tscore0:1.0" in (tmp_path / "log/result.log").read_text()
+
+
+def test_stream(spark, tmp_path):
+    train = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, None)], "k long, x double")
+    train.write.parquet(str(tmp_path / "in"))
+    codes = spark.createDataFrame([(1, 10), (2, 20)], "k long, code long")
+    stream = spark.readStream.schema(train.schema).parquet(str(tmp_path / "in"))
+    fill, scale, circle = fitted.fit(train, ["x"], "fillna"), fitted.fit(train, ["x"], "standerize"), fitted.fit(train, ["x"], "circle")
+    out = fitted.lookup(circle(scale(fill(stream))), codes, "k", "code")
+    q = out.writeStream.format("memory").queryName("fitted_out").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r.k: (r.x, r.code) for r in spark.sql("select * from fitted_out").collect()}
+    assert got == {1: (-1.0, 10), 2: (1.0, 20), 3: (0.0, None)}

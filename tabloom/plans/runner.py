@@ -113,6 +113,7 @@ class Runner:
         if self.config.advanced.get("adversarial_validation"):
             self.train = adversarial(self.train, self.test)
         self.splitter = splitter or self._stratified
+        self._folded: DataFrame | None = None
 
     # ---- folds
     def _stratified(self, df: DataFrame, by: str) -> DataFrame:
@@ -120,9 +121,12 @@ class Runner:
 
     def folded(self) -> DataFrame:
         """The training rows with a fold column, assigned once and kept, so every fold sees the same assignment."""
+        if self._folded is not None:
+            return self._folded
         path = f"{self.folder}/folds"
         self.splitter(self.train, self.config.cv_y or Y).select(ROW_ID, "fold").write.mode("overwrite").parquet(path)
-        return self.train.join(self.spark.read.parquet(path), ROW_ID)
+        self._folded = self.train.join(self.spark.read.parquet(path), ROW_ID)
+        return self._folded
 
     def build_model(self, fold: int) -> Model:
         return models.build(self.config.model_name, f"{self.config.run_name}-{fold}", self.config.params, self.config.categorical)

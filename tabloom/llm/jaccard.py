@@ -40,7 +40,7 @@ class _Hashes(dict):
 
         out = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= 1_000_000:
+            if len(self) >= 600_000:
                 self.clear()
             self[word] = out
         return out
@@ -81,6 +81,16 @@ def _enough(overlap: Column, a: Column, b: Column) -> Column:
     return 7 * overlap >= 3 * (a + b)
 
 
+def _possible(x: str, y: str) -> Column:
+    """Whether two classes can link by their sizes n and by ``alone``, how many shingles of a prefix no other prefix has.
+
+    Of two prefixes the one that ends first (``last``) holds no shingle that the other class has behind its own prefix, so
+    the overlap holds none of those it has alone."""
+    nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
+    most = F.when(F.col(f"last{x}") <= F.col(f"last{y}"), nx - F.col(f"alone{x}")).otherwise(ny - F.col(f"alone{y}"))
+    return _compatible(nx, ny) & _enough(most, nx, ny)
+
+
 def _cells(h: np.ndarray, bits: int) -> np.ndarray:
     return (h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -171,22 +181,24 @@ def _listed(rows: DataFrame, table, width: int, bits: int) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            n, cls, prefixes = [], [], []
+            n, cls, prefixes, ends_common = [], [], [], []
             for t in b.column(1):
                 s = shingles(t.as_py(), width)
                 n.append(len(s))
                 cls.append(_class(s) if len(s) else None)
+                ends_common.append(False)
                 if len(s):
                     keep = len(s) - needed(len(s)) + 1
                     common = _is_common(s, table.value, bits)
                     rare = s[~common][:keep]
-                    s = np.concatenate([rare, s[common][: keep - len(rare)]]) if len(rare) < keep else rare
+                    ends_common[-1] = len(rare) < keep
+                    s = np.concatenate([rare, s[common][: keep - len(rare)]]) if len(rare) < keep else rare.copy()
                 prefixes.append(s)
             sizes = np.cumsum([0, *map(len, prefixes)])
             flat = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "prefix": flat})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "ends_common": pa.array(ends_common), "prefix": flat})
 
-    return rows.mapInArrow(run, "doc_id long, n long, cls long, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, cls long, ends_common boolean, prefix array<long>")
 
 
 def _whole_sets(rows: DataFrame, wanted: DataFrame, width: int, bits: int = 26) -> DataFrame:
@@ -237,41 +249,50 @@ def near_components(docs: DataFrame, width: int = 5, crowd: int = 24, rounds: in
     entries = classes.where("doc_id is not null").select("cls", F.explode("prefix").alias("h"))
     met = entries.withColumn("g", F.count("*").over(Window.partitionBy("h"))).where("g > 1")
     met = shared.settle(met, "jaccard-met")
-    sizes = shared.settle(listed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "jaccard-classes")
+    last = F.struct("ends_common", F.element_at("prefix", -1).alias("h"))  # compares as the order of shingles does
+    sizes = shared.settle(listed.where("cls is not null").select("cls", "doc_id", "n", last.alias("last")).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("last").alias("last")), "jaccard-classes")
 
     # what may link: pairs that meet under shingles of few classes, counted and held against their bound
     crowded = met.where(F.col("g") > crowd)
-    in_crowds = crowded.groupBy("cls").agg(F.count("*").alias("q"))
-    known = shared.settle(met.select("cls").distinct().join(sizes, "cls").join(in_crowds, "cls", "left").select("cls", "n", F.coalesce("q", F.lit(0)).alias("q")), "jaccard-known")
+    known = shared.settle(met.groupBy("cls").agg(F.count("*").alias("m"), F.sum((F.col("g") > crowd).cast("long")).alias("q")).join(sizes, "cls").select("cls", "n", "last", "m", "q", (F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1 - F.col("m")).alias("alone")), "jaccard-known")
     few = met.where(F.col("g") <= crowd).select("h", "cls")
     pairs = few.withColumnRenamed("cls", "a").join(few.withColumnRenamed("cls", "b"), "h").where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
     likely = shared.settle(_bounded(pairs, known), "jaccard-likely")
-    hot = shared.settle(crowded.select("h", "cls").join(known.select("cls", "n"), "cls"), "jaccard-crowds")
+    hot = shared.settle(crowded.select("h", "cls").join(known.select("cls", "n", "last", "alone"), "cls"), "jaccard-crowds")
     wanted = likely.select(F.col("a").alias("cls")).union(likely.select("b")).union(hot.select("cls")).distinct().join(sizes, "cls")
     sets = shared.settle(_whole_sets(rows, wanted.select("cls", "doc_id"), width), "jaccard-sets")
     links = shared.settle(_linked(likely, sets), "jaccard-links")
     part = components(links, "jaccard")
 
     # crowds: one of them is compared with all others, then only pairs across components are left
-    for k in range(rounds + 1):
-        apart = hot.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", F.coalesce("component", "cls").alias("component"))
-        mixed = apart.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(k), "cls").alias("r"), "cls", "n", "component")).alias("centre")).where("lo < hi")
+    k = 0
+    while k <= rounds:
+        apart = hot.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", "last", "alone", F.coalesce("component", "cls").alias("component"))
+        # first the class with the fewest shingles of its own, which is likely the one that others were made from
+        first = (F.col("alone") / F.col("n") if k % 2 == 0 else F.lit(0.0)).alias("first")
+        mixed = apart.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(first, F.xxhash64(F.lit(k), "cls").alias("r"), "cls", "n", "last", "alone", "component")).alias("centre")).where("lo < hi")
         mixed = shared.settle(mixed, "jaccard-mixed")
         if mixed.isEmpty():
             break
         if k < rounds:
-            near = apart.join(mixed.select("h", "centre"), "h").where((F.col("component") != F.col("centre.component")) & _compatible(F.col("n"), F.col("centre.n")))
-            tally = near.groupBy("cls", F.col("centre.cls").alias("centre")).count()
+            near = apart.join(mixed.select("h", F.col("centre.cls").alias("c"), F.col("centre.component").alias("cc"), F.col("centre.n").alias("nc"), F.col("centre.last").alias("lastc"), F.col("centre.alone").alias("alonec")), "h").withColumnsRenamed({"n": "nx", "last": "lastx", "alone": "alonex"}).where((F.col("component") != F.col("cc")) & _possible("x", "c"))
+            tally = near.groupBy("cls", F.col("c").alias("centre")).count()
             chosen = tally.groupBy("cls").agg(F.max_by("centre", F.struct("count", "centre")).alias("centre"))
             chosen = chosen.select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
         else:
-            open_ = shared.settle(apart.join(mixed.select("h"), "h").select("h", "cls", "n", "component"), "jaccard-open")
-            x, y = (open_.select("h", *[F.col(c).alias(f"{c}{s}") for c in ("cls", "n", "component")]) for s in "ab")
-            across = x.join(y, "h").where((F.col("clsa") < F.col("clsb")) & (F.col("componenta") != F.col("componentb")) & _compatible(F.col("na"), F.col("nb")))
-            chosen = across.select(F.col("clsa").alias("a"), F.col("clsb").alias("b")).distinct()
+            open_ = apart.join(mixed.select("h"), "h").groupBy("cls", "n", "last", "alone", "component").agg(F.collect_list("h").alias("hs"))
+            open_ = shared.settle(open_.join(known.select("cls", (F.col("m") - F.col("q")).alias("o")), "cls"), "jaccard-open")
+            x, y = (open_.select(F.explode("hs").alias("h"), *[F.col(c).alias(f"{c}{s}") for c in open_.columns]) for s in "xy")
+            both = F.array_intersect("hsx", "hsy")
+            across = (F.col("clsx") < F.col("clsy")) & (F.col("componentx") != F.col("componenty")) & _possible("x", "y")
+            # a pair counts all its shared shingles at the first of them
+            reach = _reaches(F.size(both), "x", "y") & (F.array_min(both) == x["h"])
+            chosen = x.join(y, (x["h"] == y["h"]) & across & reach).select(F.col("clsx").alias("a"), F.col("clsy").alias("b"))
         new = shared.settle(_linked(chosen, sets), "jaccard-links")
-        links = links.union(new)
-        if not new.isEmpty():
+        if new.isEmpty():
+            k = max(k + 1, rounds)  # a round without links: only the pairs are left
+        else:
+            links, k = links.union(new), k + 1
             part = components(links, "jaccard")
 
     named = sizes.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
@@ -282,13 +303,18 @@ def near_components(docs: DataFrame, width: int = 5, crowd: int = 24, rounds: in
     return listed.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _reaches(counted: Column, x: str, y: str) -> Column:
+    """Whether an overlap can reach the bound that the sizes set: it is at most what is ``counted``, and as many of the
+    prefixes' other shingles (``o``) as both have, and what lies behind the prefix."""
+    nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
+    behind = F.greatest(F.floor(nx * 3 / 4), F.floor(ny * 3 / 4))  # n less its prefix is at most this
+    return _enough(counted + F.least(f"o{x}", f"o{y}") + behind, nx, ny)
+
+
 def _bounded(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs whose overlap can still reach the bound: what they share in shingles of few classes, at most the crowded ones
-    of their prefixes, and at most what lies behind the prefix."""
-    a, b = (known.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("q").alias(f"q{s}")) for s in "ab")
-    behind = F.greatest(F.floor(F.col("na") * 3 / 4), F.floor(F.col("nb") * 3 / 4))  # n less its prefix is at most this
-    both = pairs.join(a, "a").join(b, "b").where(_compatible(F.col("na"), F.col("nb")))
-    return both.where(_enough(F.col("c") + F.least("qa", "qb") + behind, F.col("na"), F.col("nb"))).select("a", "b")
+    """Pairs counted under shingles of few classes that can still link."""
+    a, b = (known.select(F.col("cls").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("n", "last", "alone")], F.col("q").alias(f"o{s}")) for s in "ab")
+    return pairs.join(a, "a").join(b, "b").where(_possible("a", "b") & _reaches(F.col("c"), "a", "b")).select("a", "b")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

@@ -40,7 +40,7 @@ class _Hashes(dict):
 
         out = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= 600_000:
+            if len(self) >= 400_000:
                 self.clear()
             self[word] = out
         return out
@@ -95,7 +95,7 @@ def _cells(h: np.ndarray, bits: int) -> np.ndarray:
     return (h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def common_cells(rows: DataFrame, width: int, bits: int, least: int, batch: int = 1 << 22) -> np.ndarray:
+def common_cells(rows: DataFrame, width: int, bits: int, least: int, batch: int = 1 << 21) -> np.ndarray:
     """A bit for each of 2**bits cells of the hashes: does it hold markedly more document-shingle pairs than others?
 
     A task adds up counts for some million shingles at a time and sends, for each chunk of 65536 cells, the cells in use;

@@ -27,7 +27,7 @@ class _Features(dict):
         shape = f"\1{case}{token[-2:] if token and not token[-1].isalnum() else ''}{token[:1] if token and not token[0].isalnum() else ''}"
         out = (zlib.crc32(word.encode("utf-8", "surrogatepass")) % DIMENSIONS, zlib.crc32(shape.encode("utf-8", "surrogatepass")) % DIMENSIONS)
         if len(token) <= 64:
-            if len(self) >= 400_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[token] = out
         return out

@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, vocab: str, end_id: int = 1, capacity: int = 4096, i
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, end, uid = tokens.encoder(vocab), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 40
+        enc, end, uid = tokens.encoder(vocab, 400_000), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 40
         out, held = [], 0
 
         def full():

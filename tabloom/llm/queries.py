@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boundaries, jaccard, languages, ordinal, packing, privacy, sharding, shared, suffixes, tiff, tokens, urls
+from . import boundaries, jaccard, languages, ordinal, packing, privacy, sharding, shared, sql, suffixes, tiff, tokens, urls
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +76,6 @@ def op7_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_components(shared.table(spark, sf_dir, "documents"))
+
+
+ORACLE |= {"op2_stratified_shards": sql.SHARDS, "op3_redirect_verdicts": sql.URLS, "op8_suffix_array_leaks": sql.LEAKS, "op10_shingle_components": sql.NEAR}

@@ -4,8 +4,9 @@ import pytest
 
 import corpus_pipeline
 from tabloom.llm import ordinal, privacy, tokens
-from tabloom.llm.queries import QUERIES
+from tabloom.llm.queries import ORACLE, QUERIES
 
+from ..oracle import connect, rows_of_spark, rows_of_sql
 from .test_native import brute_spans
 from .test_python import brute_components, brute_hits
 
@@ -20,6 +21,11 @@ def test_queries_run(spark, name):
     assert df.count() >= n if name.startswith("op1_") else df.count() == n
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_queries_equal_sql(spark, name):
+    assert rows_of_spark(QUERIES[name](spark, SF)) == rows_of_sql(connect(SF), ORACLE[name])
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)

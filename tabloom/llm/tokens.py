@@ -2,7 +2,7 @@
 
 Both supported vocabularies split a text into words before merging. In the byte-level one a single space between two
 characters that are not white space always starts a new word; in the other one white space always parts words and is
-dropped, and letters are lower-cased. Marks that end a piece after a letter or digit are a word of their own in both.
+dropped, and letters are lower-cased. Marks that end a piece after a Latin letter or digit are a word of their own in both.
 Cutting at these places and joining the ids of the parts therefore gives the ids of the whole text. Texts for which this
 is not so plain (white space that touches a space, separators that only one side takes for white space) are encoded whole.
 
@@ -98,7 +98,7 @@ class Encoder:
                 ids = old.get(piece)
                 if ids is None:
                     base = piece.rstrip(_MARKS)
-                    if len(base) < len(piece) and base and base[-1].isalnum():
+                    if len(base) < len(piece) and base and base[-1] < "\u0100" and base[-1].isalnum():
                         if base not in new and base not in wanted:
                             ids = old.get(base)
                             if ids is None:

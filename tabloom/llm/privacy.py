@@ -6,9 +6,12 @@ holding the term t and n_ct holding t beside c, what t discloses of c is
 
     disclosure = PMI(c; t) / IC(c) = log(N * n_ct / (n_c * n_t)) / log(N / n_c),
 
-1 if t never occurs without c beside it. Terms at ``generalise_at`` or more, seen beside c in at least ``support`` different
-texts, are generalised to a note of the entity's kind; those at ``remove_at`` or more are removed. Entities are not limited
-to documents of any kind, and work is linear in the text: an entity meets its neighbourhood, not its whole document.
+1 if t never occurs without c beside it. As PMI / IC = 1 + log(n_ct / n_t) / IC, all that is estimated is the share n_ct / n_t.
+Beside an entity held by ``support`` different texts or more a term must have been seen in as many; beside a rarer one, which
+most personal data are, in each of its texts. Seen in fewer than ``support`` texts the share is taken as
+min(n_ct / n_t, (n_ct + 1) / (n_t + 2)), the rule of succession where that is lower: it takes off at most log(3/2) / IC(c),
+and such a term is never removed. Terms at ``generalise_at`` or more are generalised to a note of the entity's kind; those at
+``remove_at`` or more are removed. Entities are not limited to documents of any kind, and work is linear in the text: an entity meets its neighbourhood, not its whole document.
 """
 
 from __future__ import annotations
@@ -90,14 +93,17 @@ def sanitise(docs: DataFrame, reach: int = 80, support: int = 3, generalise_at:
     beside = shared.settle(words.select("_uid", "th", "kind", "v", F.lower("x.v").alias("term"), (F.col("lo") + F.col("x.s")).alias("s"), (F.col("lo") + F.col("x.e")).alias("e")), "pii-beside")
 
     n = stored.count()
-    pairs = beside.groupBy("kind", "v", "term", "_uid", "th").count().groupBy("kind", "v", "term").agg(F.count("*").alias("n_ct"), F.count_distinct("th").alias("texts")).where(F.col("texts") >= support)
+    pairs = beside.groupBy("kind", "v", "term", "_uid", "th").count().groupBy("kind", "v", "term").agg(F.count("*").alias("n_ct"), F.count_distinct("th").alias("texts"))
     pairs = shared.settle(pairs, "pii-pairs")
-    entities = stored.select(F.explode(F.expr("array_distinct(flatten(array(" + ", ".join(f"transform(_f.{k}, x -> named_struct('kind', '{k}', 'v', x.v))" for k in PATTERNS) + ")))")).alias("c")).groupBy("c.kind", "c.v").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
-    terms = stored.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(_text), r'{WORD}', 0)"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
+    entities = stored.select(F.xxhash64("_text").alias("th"), F.explode(F.expr("array_distinct(flatten(array(" + ", ".join(f"transform(_f.{k}, x -> named_struct('kind', '{k}', 'v', x.v))" for k in PATTERNS) + ")))")).alias("c")).groupBy("c.kind", "c.v").agg(F.count("*").alias("n_c"), F.count_distinct("th").alias("texts_c"))
+    terms = stored.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(_text), r'{WORD}', 0)"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     entities, terms = shared.settle(entities, "pii-entities"), shared.settle(terms, "pii-terms")
     told = pairs.join(entities, ["kind", "v"]).join(terms, "term").where(F.col("n_c") < n)
-    told = told.withColumn("disclosure", F.log(n * F.col("n_ct") / (F.col("n_c").cast("double") * F.col("n_t"))) / F.log(n / F.col("n_c")))
-    told = told.where(F.col("disclosure") >= generalise_at).select("kind", "v", "term", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action"))
+    told = told.where(F.col("texts") >= F.least(F.lit(support), F.col("texts_c")))
+    often, raw = F.col("texts") >= support, F.col("n_ct") / F.col("n_t")
+    share = F.when(often, raw).otherwise(F.least(raw, (F.col("n_ct") + 1) / (F.col("n_t") + 2)))
+    told = told.withColumn("disclosure", F.log(n * share / F.col("n_c")) / F.log(n / F.col("n_c")))
+    told = told.where(F.col("disclosure") >= generalise_at).select("kind", "v", "term", F.when(often & (F.col("disclosure") >= remove_at), "remove").otherwise("generalise").alias("action"))
     told = shared.settle(told, "pii-told")
     marked = beside.join(told, ["kind", "v", "term"]).groupBy("_uid").agg(F.array_sort(F.collect_set(F.struct("s", "e", "action", "kind"))).alias("_terms"))
     marked = shared.settle(marked, "pii-marked")

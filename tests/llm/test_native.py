@@ -255,6 +255,16 @@ def test_pii_terms(spark):
         assert r.redacted == made + t[at:]
 
 
+def test_pii_terms_of_rare_entities(spark):
+    texts = [f"please write to us {k}" for k in range(100)] + ["please write to Zorblax at z@q.io", "Zorblax"] + [f"call +41 44 668 18 00, {k}" for k in range(4)] + ["once +41 44 668 18 00"]
+    out = privacy.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    marked = {(texts[r.doc_id][x.s : x.e], x.action, x.kind) for r in out for x in r.terms}
+    assert marked == {("at", "generalise", "email"), ("call", "remove", "phone")}  # Zorblax in half of its rows: 1 - log(2) / log(107) < 0.9
+    texts[101] = ""
+    out = privacy.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.redacted for r in out}[100] == "please write to [near email] [near email] [EMAIL]"
+
+
 def test_pii_edges(edges, nothing):
     out = privacy.sanitise(edges, carry=True)
     assert out.columns == edges.columns and out.count() == edges.count()

@@ -1,17 +1,19 @@
 """Personal data by patterns, and information-theoretic sanitisation of the terms around it, in DataFrame operations alone.
 
 Patterns give the protected entities: mail and network addresses, card and phone numbers. A term is a word of two letters
-or more within ``reach`` code points of an entity. Over all documents, with N rows, n_c of them holding the entity c, n_t
-holding the term t and n_ct holding t beside c, what t discloses of c is
+or more, in any case. Over all documents, with N rows, n_c of them holding the entity c, n_t holding the term t and n_ct
+holding both, wherever in the document, what t discloses of c is
 
     disclosure = PMI(c; t) / IC(c) = log(N * n_ct / (n_c * n_t)) / log(N / n_c),
 
-1 if t never occurs without c beside it. As PMI / IC = 1 + log(n_ct / n_t) / IC, all that is estimated is the share n_ct / n_t.
-Beside an entity held by ``support`` different texts or more a term must have been seen in as many; beside a rarer one, which
+1 if t never occurs without c. As PMI / IC = 1 + log(n_ct / n_t) / IC, all that is estimated is the share n_ct / n_t.
+With an entity held by ``support`` different texts or more a term must have been seen in as many; with a rarer one, which
 most personal data are, in each of its texts. Seen in fewer than ``support`` texts the share is taken as
 min(n_ct / n_t, (n_ct + 1) / (n_t + 2)), the rule of succession where that is lower: it takes off at most log(3/2) / IC(c),
 and such a term is never removed. Terms at ``generalise_at`` or more are generalised to a note of the entity's kind; those at
-``remove_at`` or more are removed. Entities are not limited to documents of any kind, and work is linear in the text: an entity meets its neighbourhood, not its whole document.
+``remove_at`` or more are removed, at every place in the documents that hold the entity. Entities are not limited to documents
+of any kind. Each distinct entity of a document meets each of its distinct terms that can reach ``generalise_at`` by n_c and n_t
+alone, which leaves out no pair that counts; common words drop out before pairs are made.
 """
 
 from __future__ import annotations
@@ -73,7 +75,7 @@ def _written(column: str) -> str:
     return "flatten(array(" + ", ".join(f"transform({column}.{k}, x -> concat('{k}:', x.s, ':', x.e))" for k in PATTERNS) + "))"
 
 
-def sanitise(docs: DataFrame, reach: int = 80, support: int = 3, generalise_at: float = 0.9, remove_at: float = 0.995, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def sanitise(docs: DataFrame, support: int = 3, generalise_at: float = 0.9, remove_at: float = 0.995, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """A row for each document: doc_id, n_email, n_ip, n_card, n_phone, base, terms, redacted.
 
     ``base`` is the written spans of the patterns, ``terms`` an array of (s, e, action, kind), ``redacted`` the text with
@@ -83,32 +85,34 @@ def sanitise(docs: DataFrame, reach: int = 80, support: int = 3, generalise_at:
     named = docs.select(F.monotonically_increasing_id().alias("_uid"), F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []))
     stored = shared.settle(named.withColumn("_t", text).withColumn("_f", found("_t")).drop("_t"), "pii-found")
     every = "array_sort(flatten(array(" + ", ".join(f"transform(_f.{k}, x -> named_struct('s', x.s, 'e', x.e, 'kind', '{k}', 'v', x.v))" for k in PATTERNS) + ")))"
-    stored_spans = stored.select("_uid", "_doc", "_f", "_text", F.expr(every).alias("_all")).where("size(_all) > 0")
-    # neighbourhoods end at the next entity; at a cut end a word may be cut, so it is left out
-    sides = f"""flatten(transform(_all, (x, i) -> array(
-        named_struct('kind', x.kind, 'v', x.v, 'lo', greatest(x.s - {reach}, if(i = 0, 0, _all[greatest(i - 1, 0)].e)), 'hi', x.s, 'cut', if(x.s - {reach} > if(i = 0, 0, _all[greatest(i - 1, 0)].e), -1, 0)),
-        named_struct('kind', x.kind, 'v', x.v, 'lo', x.e, 'hi', least(x.e + {reach}, if(i = size(_all) - 1, length(_text), _all[least(i + 1, size(_all) - 1)].s)), 'cut', if(x.e + {reach} < if(i = size(_all) - 1, length(_text), _all[least(i + 1, size(_all) - 1)].s), 1, 0)))))"""
-    near = stored_spans.select("_uid", F.xxhash64("_text").alias("th"), F.explode(F.expr(f"transform(filter({sides}, y -> y.hi > y.lo), y -> named_struct('kind', y.kind, 'v', y.v, 'lo', y.lo, 'cut', y.cut, 'w', substring(_text, y.lo + 1, y.hi - y.lo)))")).alias("y"))
-    words = near.select("_uid", "th", "y.*").withColumn("x", F.explode(F.expr(spans("w", WORD)))).where("not (cut = -1 and x.s = 0) and not (cut = 1 and x.e = length(w))")
-    beside = shared.settle(words.select("_uid", "th", "kind", "v", F.lower("x.v").alias("term"), (F.col("lo") + F.col("x.s")).alias("s"), (F.col("lo") + F.col("x.e")).alias("e")), "pii-beside")
-
-    n = stored.count()
-    pairs = beside.groupBy("kind", "v", "term", "_uid", "th").count().groupBy("kind", "v", "term").agg(F.count("*").alias("n_ct"), F.count_distinct("th").alias("texts"))
+    stored_spans = stored.select("_uid", "_text", F.expr(every).alias("_all")).where("size(_all) > 0")
+    n, th = stored.count(), F.xxhash64("_text").alias("th")
+    held = stored_spans.select("_uid", th, F.explode(F.expr("array_distinct(transform(_all, x -> named_struct('kind', x.kind, 'v', x.v)))")).alias("c")).select("_uid", "th", "c.*")
+    entities = held.groupBy("kind", "v").agg(F.count("*").alias("n_c"), F.count_distinct("th").alias("texts_c")).where(F.col("n_c") < n)
+    entities = shared.settle(entities, "pii-entities")
+    # with n_ct <= min(n_c, n_t) no term in more rows than this can reach generalise_at beside any entity
+    most = entities.agg(F.max("n_c")).first()[0] or 1
+    bound = n ** (1 - generalise_at) * most**generalise_at * (1 + 1e-9) if n else 0
+    distinct = F.array_distinct(F.transform(F.expr(f"regexp_extract_all(_text, r'{WORD}', 0)"), F.lower))
+    terms = stored.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= bound)
+    own = held.join(entities, ["kind", "v"]).groupBy("_uid", "th").agg(F.collect_list(F.struct("kind", "v", "n_c", "texts_c")).alias("cs"))
+    likely = F.filter("cs", lambda c: n * F.least(c["n_c"], F.col("n_t")) / (c["n_c"].cast("double") * F.col("n_t")) >= F.pow(n / c["n_c"], F.lit(generalise_at)) * (1 - 1e-9))
+    words = stored_spans.select("_uid", F.explode(distinct).alias("term")).join(terms, "term").join(own, "_uid")
+    pairs = words.select("_uid", "th", "term", "n_t", F.explode(likely).alias("c")).select("_uid", "th", "term", "n_t", "c.*")
     pairs = shared.settle(pairs, "pii-pairs")
-    entities = stored.select(F.xxhash64("_text").alias("th"), F.explode(F.expr("array_distinct(flatten(array(" + ", ".join(f"transform(_f.{k}, x -> named_struct('kind', '{k}', 'v', x.v))" for k in PATTERNS) + ")))")).alias("c")).groupBy("c.kind", "c.v").agg(F.count("*").alias("n_c"), F.count_distinct("th").alias("texts_c"))
-    terms = stored.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(_text), r'{WORD}', 0)"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    entities, terms = shared.settle(entities, "pii-entities"), shared.settle(terms, "pii-terms")
-    told = pairs.join(entities, ["kind", "v"]).join(terms, "term").where(F.col("n_c") < n)
+    pair = ["kind", "v", "term", "n_c", "texts_c", "n_t"]
+    told = pairs.groupBy(*pair, "th").agg(F.count("*").alias("rows")).groupBy(*pair).agg(F.sum("rows").alias("n_ct"), F.count("*").alias("texts"))
     told = told.where(F.col("texts") >= F.least(F.lit(support), F.col("texts_c")))
     often, raw = F.col("texts") >= support, F.col("n_ct") / F.col("n_t")
     share = F.when(often, raw).otherwise(F.least(raw, (F.col("n_ct") + 1) / (F.col("n_t") + 2)))
     told = told.withColumn("disclosure", F.log(n * share / F.col("n_c")) / F.log(n / F.col("n_c")))
     told = told.where(F.col("disclosure") >= generalise_at).select("kind", "v", "term", F.when(often & (F.col("disclosure") >= remove_at), "remove").otherwise("generalise").alias("action"))
-    told = shared.settle(told, "pii-told")
-    marked = beside.join(told, ["kind", "v", "term"]).groupBy("_uid").agg(F.array_sort(F.collect_set(F.struct("s", "e", "action", "kind"))).alias("_terms"))
+    told = shared.settle(pairs.join(told, ["kind", "v", "term"]).select("_uid", "term", "action", "kind").distinct(), "pii-told")
+    places = stored_spans.join(told.select("_uid").distinct(), "_uid", "left_semi").select("_uid", F.explode(F.expr(spans("_text", WORD))).alias("x"))
+    marked = places.select("_uid", F.lower("x.v").alias("term"), "x.s", "x.e").join(told, ["_uid", "term"]).groupBy("_uid").agg(F.array_sort(F.collect_set(F.struct("s", "e", "action", "kind"))).alias("_terms"))
     marked = shared.settle(marked, "pii-marked")
     out = stored.join(marked, "_uid", "left")
-    clear = f"filter(coalesce(_terms, array()), t -> not exists({every}, b -> t.s < b.e and b.s < t.e))"
+    clear = f"element_at(transform(array({every}), bs -> filter(_terms, t -> not exists(bs, b -> t.s < b.e and b.s < t.e))), 1)"
     out = out.withColumn("terms", F.expr(f"if(_terms is null, cast(array() as array<struct<s:int,e:int,action:string,kind:string>>), {clear})"))
     labels = f"array_sort(concat(transform({every}, x -> named_struct('s', x.s, 'e', x.e, 'l', concat('[', upper(x.kind), ']'))), transform(terms, x -> named_struct('s', x.s, 'e', x.e, 'l', if(x.action = 'remove', '', concat('[near ', x.kind, ']'))))))"
     cut = "aggregate(ls, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, x) -> if(x.s >= a.at, named_struct('at', x.e, 'out', concat(a.out, array(substring(_text, a.at + 1, x.s - a.at), x.l))), named_struct('at', greatest(a.at, x.e), 'out', a.out)), a -> concat(array_join(a.out, ''), substring(_text, a.at + 1)))"

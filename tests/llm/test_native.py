@@ -265,6 +265,16 @@ def test_pii_terms_of_rare_entities(spark):
     assert {r.doc_id: r.redacted for r in out}[100] == "please write to [near email] [near email] [EMAIL]"
 
 
+def test_pii_terms_anywhere_in_the_document(spark):
+    far = " and then some more" * 10
+    texts = [f"Zorblax {k}{far} z@q.io, +41 44 668 18 00, 10.1.2.3{far} zorblax" for k in range(4)] + [f"{far} {k}" for k in range(60)] + ["zorblax"]
+    out = privacy.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), generalise_at=0.8).collect()
+    for r in out:
+        ends = {(0, 7), (len(texts[r.doc_id]) - 7, len(texts[r.doc_id]))} if r.doc_id < 4 else set()
+        assert {(x.s, x.e, x.action, x.kind) for x in r.terms} == {(a, b, "generalise", k) for a, b in ends for k in ("email", "phone", "ip")}
+        assert ("orblax" in r.redacted) == (r.doc_id == 64)
+
+
 def test_pii_edges(edges, nothing):
     out = privacy.sanitise(edges, carry=True)
     assert out.columns == edges.columns and out.count() == edges.count()

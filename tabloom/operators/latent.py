@@ -7,7 +7,7 @@ import warnings
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.ml.clustering import LDA
+from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.linalg import Vectors as OldVectors
@@ -20,6 +20,7 @@ from ..frame import TrainTest
 
 Factor = Callable[[DataFrame, int], DataFrame]
 SEED = 777
+STEPS = 20
 
 
 def token_counts(df: DataFrame, c1: str, c2: str) -> DataFrame:
@@ -38,9 +39,17 @@ def counted(tokens: DataFrame) -> DataFrame:
     return CountVectorizer(inputCol="words", outputCol="counts", vocabSize=1 << 20).fit(repeated).transform(repeated).select("doc", "counts")
 
 
+def topics_of(docs: DataFrame, k: int) -> LDAModel:
+    """A topic model over all documents: each of the STEPS steps draws about as many documents as there are.
+
+    MLlib draws with replacement, so that one step misses a document with a chance of 1/e and all of them with e^-20. Step
+    sizes are (10 + step)^-0.7, the usual ones of an online model; MLlib's own are made for thousands of small steps."""
+    return LDA(k=k, optimizer="online", seed=SEED, featuresCol="counts", maxIter=STEPS, subsamplingRate=1.0, learningOffset=10.0, learningDecay=0.7).fit(docs)
+
+
 def lda(docs: DataFrame, k: int) -> DataFrame:
     """doc and its distribution over k topics, single precision; an empty document has 1/k for each."""
-    model = LDA(k=k, optimizer="online", seed=SEED, featuresCol="counts", maxIter=10).fit(docs)
+    model = topics_of(docs, k)
     topics = vector_to_array(F.col("topicDistribution"))
     even = F.array(*[F.lit(1.0 / k)] * k)
     found = model.transform(docs).select("doc", F.when(F.aggregate(topics, F.lit(0.0), lambda a, x: a + x) > 0, topics).otherwise(even).alias("v"))

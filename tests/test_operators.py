@@ -227,6 +227,12 @@ def test_svd_rebuilds_counts(spark):
             assert float(counts[i] @ counts[j]) == pytest.approx(sum(a * b for a, b in zip(parts[i], parts[j], strict=True)), abs=1e-4)
 
 
+def test_lda_uses_every_document(spark):
+    tokens = spark.range(200).select(F.col("id").alias("doc"), F.concat(F.lit("own"), "id").alias("token"), F.lit(50).cast("long").alias("n"))
+    weights = latent.topics_of(latent.counted(tokens), 2).topicsMatrix().toArray().sum(axis=1)
+    assert len(weights) == 200 and weights.min() > 10  # a token of a document never drawn keeps less than 3
+
+
 def test_frame(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None)], "id long, y double")
     t = TrainTest.from_null_target(df, "y", "id")

@@ -8,8 +8,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import DataFrame
@@ -33,10 +33,14 @@ def token_counts(df: DataFrame, c1: str, c2: str) -> DataFrame:
 
 
 def counted(tokens: DataFrame) -> DataFrame:
-    """doc and its sparse vector of token counts; a document is an array of distinct tokens with counts, never a list of rows."""
-    words = tokens.groupBy("doc").agg(F.collect_list(F.struct("token", "n")).alias("t"))
-    repeated = words.select("doc", F.flatten(F.transform("t", lambda x: F.array_repeat(x["token"], F.least(x["n"], F.lit(1_000_000)).cast("int")))).alias("words"))
-    return CountVectorizer(inputCol="words", outputCol="counts", vocabSize=1 << 20).fit(repeated).transform(repeated).select("doc", "counts")
+    """doc and its sparse vector of true token counts over all tokens, in the order of their names; nothing is repeated or cut."""
+    ranked = tokens.select("token").distinct().sort("token").rdd.map(lambda r: r[0]).zipWithIndex()
+    vocabulary = tokens.sparkSession.createDataFrame(ranked, "token string, i long")
+    width = vocabulary.count()
+    if not width:
+        raise ValueError("no tokens")
+    vector = F.udf(lambda t: Vectors.sparse(width, [x[0] for x in t], [float(x[1]) for x in t]), VectorUDT())
+    return tokens.join(vocabulary, "token").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("t")).select("doc", vector("t").alias("counts"))
 
 
 def topics_of(docs: DataFrame, k: int) -> LDAModel:
@@ -44,7 +48,10 @@ def topics_of(docs: DataFrame, k: int) -> LDAModel:
 
     MLlib draws with replacement, so that one step misses a document with a chance of 1/e and all of them with e^-20. Step
     sizes are (10 + step)^-0.7, the usual ones of an online model; MLlib's own are made for thousands of small steps."""
-    return LDA(k=k, optimizer="online", seed=SEED, featuresCol="counts", maxIter=STEPS, subsamplingRate=1.0, learningOffset=10.0, learningDecay=0.7).fit(docs)
+    docs = docs.persist()  # each step reads the documents
+    model = LDA(k=k, optimizer="online", seed=SEED, featuresCol="counts", maxIter=STEPS, subsamplingRate=1.0, learningOffset=10.0, learningDecay=0.7).fit(docs)
+    docs.unpersist()
+    return model
 
 
 def lda(docs: DataFrame, k: int) -> DataFrame:
@@ -60,12 +67,13 @@ def svd(docs: DataFrame, k: int) -> DataFrame:
     """doc and its first k left singular directions times singular values, uncentred, single precision.
 
     The largest entry of each right vector is made positive, so signs are determined. More components than the rank are 0."""
-    rows = docs.rdd.map(lambda r: IndexedRow(r[0], OldVectors.fromML(r[1])))
+    rows = docs.rdd.map(lambda r: IndexedRow(r[0], OldVectors.fromML(r[1]))).persist()  # and so does each step of the solver
     matrix = IndexedRowMatrix(rows)
     width = matrix.numCols()
     if k > width:
         raise ValueError(f"{k} components of {width} tokens")
     v = matrix.computeSVD(k, computeU=False).V.toArray()
+    rows.unpersist()
     v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
     v = np.pad(v, ((0, 0), (0, k - v.shape[1])))
     right = docs.sparkSession.sparkContext.broadcast(v)  # tokens by k, as large as the vocabulary; computeSVD holds it as well

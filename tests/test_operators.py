@@ -233,6 +233,14 @@ def test_lda_uses_every_document(spark):
     assert len(weights) == 200 and weights.min() > 10  # a token of a document never drawn keeps less than 3
 
 
+def test_counts_are_not_cut(spark):
+    hot = spark.createDataFrame([(0, "a", 3_300_000), (0, "b", 1), (1, "b", 2)], "doc long, token string, n long")
+    assert {r.doc: list(r.counts.toArray()) for r in latent.counted(hot).collect()} == {0: [3_300_000, 1], 1: [0, 2]}
+    many = spark.range(1_100_000).select((F.col("id") % 100).alias("doc"), F.concat(F.lit("t"), "id").alias("token"), F.lit(1).cast("long").alias("n"))
+    vectors = latent.counted(many).collect()
+    assert {r.counts.size for r in vectors} == {1_100_000} and sum(r.counts.numNonzeros() for r in vectors) == 1_100_000
+
+
 def test_frame(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None)], "id long, y double")
     t = TrainTest.from_null_target(df, "y", "id")

@@ -320,7 +320,7 @@ def D1_high_corr(spark, d):
 
 @query()
 def D3_D4_D5_matrix_factorization(spark, d):
-    o = t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 20).cast("int").alias("cust"), F.dayofmonth("o_orderdate").alias("day"))
+    o = t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("cust"), F.dayofmonth("o_orderdate").alias("day"))
     out = latent.matrix_factorization(split(o, "o_orderkey"), ["cust", "day"], 3, 2).df
     return out.drop(SPLIT, ROW_ID)
 
@@ -442,6 +442,15 @@ def L11_knn(spark, d):
     return models.nearest(e, e.where(F.col(ROW_ID) % 10 == 0), 5, skip_self=True).select("query", "other", r("distance", 5))
 
 
+@query("SELECT q AS vec_id, ROUND(avg((label = 1)::INT), 5) AS pred FROM (SELECT a.vec_id AS q, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rn FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0) WHERE rn <= 5 GROUP BY q")
+def L11_knn_predict(spark, d):
+    e = t(spark, d, "embeddings")
+    width = e.agg(F.max(F.size("embedding"))).first()[0]
+    e = e.select(F.col("vec_id").alias(ROW_ID), (F.col("label") == 1).cast("double").alias("y"), *[F.col("embedding")[i].alias(f"x{i}") for i in range(width)])
+    m = models.ModelKNN("knn", {"n_neighbors": 5}).train(e.where(F.col(ROW_ID) % 10 != 0))
+    return m.predict(e.where(F.col(ROW_ID) % 10 == 0).drop("y")).select(F.col(ROW_ID).alias("vec_id"), r("pred", 5))
+
+
 def _fitted(name: str, params: dict, classify: bool, valid: bool = False):
     def f(spark, d):
         tr, te = _model_rows(spark, d)

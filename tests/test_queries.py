@@ -20,5 +20,10 @@ def test_query(spark, name):
     assert mine == theirs
 
 
+def test_latent_query_has_whole_keys(spark):
+    out = QUERIES["D3_D4_D5_matrix_factorization"](spark, SF)
+    assert out.select("cust").distinct().count() == spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").distinct().count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1500

@@ -40,8 +40,9 @@ def components(edges: DataFrame, tag: str = "components", most_rounds: int = 100
         x, y = (parents.select(F.col("node").alias(s), F.col("parent").alias(f"p{s}")) for s in "ab")
         over = left.join(x, "a").join(y, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
         over = shared.settle(over.distinct(), f"{tag}-edges")
-        shared.discard(left, *([named] if named is not None else []))
+        shared.discard(left, parents, *([named] if named is not None else []))
         left, named = over, now
         if left.isEmpty():
+            shared.discard(left)
             return named
     raise RuntimeError("components did not settle")

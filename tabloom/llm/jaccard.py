@@ -1,18 +1,22 @@
 """Exact Jaccard join of documents on word shingles, and the components it links.
 
-The join is a product of the sparse document by shingle incidence with its transpose, taken over blocks of shingles and
-kept to what can matter:
-
-* equal sets are one class, of which the smallest doc_id stands for all;
-* every class lists its shingles in one global order, those in many documents last, and only the first n - ceil(t n) + 1 of
-  them (its prefix) enter the product: classes that reach the threshold t share one of these. The order rests on counts
-  over all shingles, kept in a table of fixed size; any order gives the same links;
-* overlap counts of pairs are added up over the blocks, and pairs whose count cannot reach the bound that their sizes set
-  are discarded. The rest are compared on their whole sets;
-* a shingle with more than ``crowd`` classes is not multiplied out. Its classes are first compared with one of their own
-  number for a few rounds; classes that are then in one component need no further comparison, and only the pairs across
-  components are multiplied out. So all pairs of a large group of near copies are never made, and no link that
-  would join two components is lost.
+The join is the product of the sparse document by shingle incidence with its transpose, made in blocks and kept to what can
+matter:
+
+* equal sets are one row of the incidence, a class;
+* columns: every class lists its shingles in one global order, those in many documents last. Of n shingles only the first
+  n - ceil(t n) + 1 (its prefix) enter the first block of columns: by their sizes alone, classes that reach the threshold t
+  share one of these. The order rests on counts over all shingles, kept in a table of fixed size; any order gives the same
+  links;
+* overlap counts of pairs are added up over these columns, and pairs whose count, with all that the other columns can
+  add, stays below the bound that their sizes set are discarded;
+* rows: what is left is laid out in blocks of one class and at most ``block`` of its candidates. In a block the rows meet
+  with all their columns, which gives the full overlap counts, and these decide. A class with many candidates has many
+  blocks, dealt by a salt, so no task holds all of them;
+* a column with more than ``crowd`` classes is not multiplied out at once. Its classes are first compared with one of their
+  own number for a few rounds; classes that are then in one component need no further comparison, and only pairs across
+  components whose sizes can link are multiplied out, by ranges of sizes. So all pairs of a large group of near copies are
+  never made, and no link that would join two components is lost.
 
 Shingles are 64-bit hashes of five consecutive lower-cased words.
 """
@@ -72,23 +76,26 @@ def needed(n: int) -> int:
     return (3 * n + 3) // 4
 
 
-def _compatible(a: Column, b: Column) -> Column:
-    return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
-
-
 def _enough(overlap: Column, a: Column, b: Column) -> Column:
     """100 * intersection >= 75 * union."""
     return 7 * overlap >= 3 * (a + b)
 
 
-def _possible(x: str, y: str) -> Column:
-    """Whether two classes can link by their sizes n and by ``alone``, how many shingles of a prefix no other prefix has.
+def _least_size(n: Column) -> Column:
+    return F.floor((3 * n + 3) / 4)
+
+
+def _most_size(n: Column, alone: Column) -> Column:
+    """The largest set that a set of n can link with, where ``alone`` of its shingles are known to be in no other.
 
-    Of two prefixes the one that ends first (``last``) holds no shingle that the other class has behind its own prefix, so
-    the overlap holds none of those it has alone."""
-    nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
-    most = F.when(F.col(f"last{x}") <= F.col(f"last{y}"), nx - F.col(f"alone{x}")).otherwise(ny - F.col(f"alone{y}"))
-    return _compatible(nx, ny) & _enough(most, nx, ny)
+    Of two prefixes the one that ends first holds no shingle that the other class has behind its own prefix, so the overlap
+    holds none of those that this prefix has alone. This bound is for the class whose prefix ends first."""
+    return F.least(F.floor(4 * n / 3), F.floor((4 * n - 7 * alone) / 3))
+
+
+def _step(n: Column) -> Column:
+    """Sizes in ranges of which each is a fifth longer than the one before."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.2)))
 
 
 def _cells(h: np.ndarray, bits: int) -> np.ndarray:
@@ -175,93 +182,155 @@ def _class(s: np.ndarray) -> int:
 
 
 def _listed(rows: DataFrame, table, width: int, bits: int) -> DataFrame:
-    """doc_id, n, cls and the prefix of each document."""
+    """doc_id, t, n, cls and the prefix of each document: its rare shingles, then its common ones, and the last of all."""
 
     def run(batches):
         import pyarrow as pa
 
+        def arrays(parts):
+            sizes = np.cumsum([0, *map(len, parts)])
+            return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
         for b in batches:
-            n, cls, prefixes, ends_common = [], [], [], []
-            for t in b.column(1):
+            n, cls, rares, commons, lasts = [], [], [], [], []
+            for t in b.column(2):
                 s = shingles(t.as_py(), width)
                 n.append(len(s))
                 cls.append(_class(s) if len(s) else None)
-                ends_common.append(False)
-                if len(s):
-                    keep = len(s) - needed(len(s)) + 1
-                    common = _is_common(s, table.value, bits)
-                    rare = s[~common][:keep]
-                    ends_common[-1] = len(rare) < keep
-                    s = np.concatenate([rare, s[common][: keep - len(rare)]]) if len(rare) < keep else rare.copy()
-                prefixes.append(s)
-            sizes = np.cumsum([0, *map(len, prefixes)])
-            flat = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "ends_common": pa.array(ends_common), "prefix": flat})
-
-    return rows.mapInArrow(run, "doc_id long, n long, cls long, ends_common boolean, prefix array<long>")
-
-
-def _whole_sets(rows: DataFrame, wanted: DataFrame, width: int, bits: int = 26) -> DataFrame:
-    """cls and its whole set for the classes in ``wanted`` (cls, doc_id). Documents are picked by a bitmap of fixed size, so
-    texts are not shuffled; the few that it lets through by chance go in the join on the class."""
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)) + 1  # buckets and positions count from 1
-    made = wanted.groupBy(F.bitmap_bucket_number(cell).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("m"))
-    bitmap = np.zeros((1 << bits) // 8, np.uint8)
-    for bucket, m in made.toLocalIterator():
-        bitmap[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(m, np.uint8)
-    held = rows.sparkSession.sparkContext.broadcast(bitmap)
+                keep = len(s) - needed(len(s)) + 1 if len(s) else 0
+                common = _is_common(s, table.value, bits)
+                rare = s[~common][:keep]
+                shared_ = s[common][: keep - len(rare)]
+                rares.append(rare)
+                commons.append(shared_)
+                lasts.append(int((shared_ if len(shared_) else rare)[-1]) if keep else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), arrays(rares), arrays(commons), pa.array(lasts, pa.int64())], ["doc_id", "t", "n", "cls", "rare", "common", "last"])
+
+    return rows.mapInArrow(run, "doc_id long, t long, n long, cls long, rare array<long>, common array<long>, last long")
+
+
+def _met(listed: DataFrame) -> DataFrame:
+    """h, cls, g: the prefix shingles that several classes have, and how many.
+
+    Rare shingles are in few documents each, as their cell has fewer than ``least`` or four times the mean, so they are counted
+    in place. Common ones, which may be in a third of all, are counted with partial sums and joined, which Spark can split."""
+    classes = listed.where("cls is not null").groupBy("cls").agg(F.first("rare").alias("rare"), F.first("common").alias("common"))
+    rare = classes.select("cls", F.explode("rare").alias("h"))
+    rare = rare.withColumn("g", F.count("*").over(Window.partitionBy("h"))).where("g > 1")
+    common = classes.select("cls", F.explode("common").alias("h"))
+    return rare.select("h", "cls", "g").union(common.join(common.groupBy("h").agg(F.count("*").alias("g")).where("g > 1"), "h").select("h", "cls", "g"))
+
+
+def _whole_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """cls and its whole set for the classes in ``wanted`` (cls, t). Texts are picked by a bitmap of fixed size, so they are
+    not shuffled; the few that it lets through by chance go in the join on the class. The result is bucketed by class."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            c = b.column(2).to_numpy(zero_copy_only=False)
-            at = np.flatnonzero((held.value[c >> 3] >> (c & 7).astype(np.uint8)) & 1)
-            for lo in range(0, len(at), 500):
-                sets = [shingles(b.column(1)[int(i)].as_py(), width) for i in at[lo : lo + 500]]
+            for lo in range(0, b.num_rows, 500):
+                sets = [shingles(x.as_py(), width) for x in b.column(0)[lo : lo + 500]]
                 sets = [s for s in sets if len(s)]
                 if sets:
                     sizes = np.cumsum([0, *map(len, sets)])
                     yield pa.RecordBatch.from_pydict({"cls": pa.array([_class(s) for s in sets], pa.int64()), "shingles": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(sets)))})
 
-    picked = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("c"))
-    sets = picked.mapInArrow(run, "cls long, shingles array<long>")
-    return sets.join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles"))
-
-
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that reach the threshold on their whole sets."""
-    x, y = (sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    both = pairs.select("a", "b").join(x, "a").join(y, "b")
-    return both.where(_enough(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b")
-
-
-def near_components(docs: DataFrame, width: int = 5, crowd: int = 24, rounds: int = 3, bits: int = 26, least: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row; documents link at a Jaccard similarity of 0.75 or more of their sets.
-
-    A document without words (or null text) has an empty set and is its own component. Equal rows and equal doc_ids each
-    keep a row. Rows with a null doc_id are in the component of their class if some row of it has an id, else of null."""
+    marks = shared.settle(shared.bitmap(wanted, "t"), "jaccard-marks")
+    sets = shared.marked(rows.select("text", "t"), "t", marks, "wanted").where("wanted").select("text").mapInArrow(run, "cls long, shingles array<long>")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = sets.join(wanted.select("cls"), "cls", "left_semi").repartition(parts, "cls").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    sets = shared.settle(sets, "jaccard-sets", by="cls")
+    shared.discard(marks)
+    return sets
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """The ``pairs`` (a, b) of classes that reach the threshold by their full overlap, counted in blocks of one b and at most
+    about ``block`` a. Rows of ``pairs`` are distinct."""
+    pairs = shared.settle(pairs, "jaccard-pairs")
+    hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = pairs.join(hubs, "b").select("a", "b", F.pmod(F.xxhash64("a"), "blocks").cast("int").alias("salt"))
+    x = dealt.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
+    y = hubs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
+    both = x.join(y, ["b", "salt"])
+    links = both.where(_enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
+    links = shared.settle(links, "jaccard-links")
+    shared.discard(pairs)
+    return links
+
+
+def _counted(met: DataFrame, crowd: int) -> DataFrame:
+    """(a, b, c): overlap counts over the columns of few classes, a < b."""
+    few = met.where(F.col("g") <= crowd).groupBy("h").agg(F.collect_list("cls").alias("all"))  # at most ``crowd`` each
+    pairs = few.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.filter("all", lambda c: c > F.col("a"))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
+
+
+def _bounded(counts: DataFrame, known: DataFrame) -> DataFrame:
+    """The counted pairs that their sizes and what crowded columns can add let link."""
+    a, b = (known.select(F.col("cls").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("n", "last", "alone")], F.col("q").alias(f"o{s}")) for s in "ab")
+    first = F.col("lasta") <= F.col("lastb")
+    possible = F.when(first, F.col("nb") <= _most_size(F.col("na"), F.col("alonea"))).otherwise(F.col("na") <= _most_size(F.col("nb"), F.col("aloneb")))
+    sized = _least_size(F.greatest("na", "nb")) <= F.least("na", "nb")
+    reaches = _reaches(F.col("c") + F.least("oa", "ob"), F.when(first, F.col("na")).otherwise(F.col("nb")), F.col("na"), F.col("nb"))
+    return counts.join(a, "a").join(b, "b").where(sized & possible & reaches).select("a", "b")
+
+
+def _reaches(shared_: Column, first: Column, na: Column, nb: Column) -> Column:
+    """Whether an overlap can reach the bound that the sizes set. Of two prefixes the one that ends first (of a set of size
+    ``first``) has no shingle behind the other, so the overlap is at most what the prefixes share and what lies behind this one."""
+    return _enough(shared_ + _least_size(first) - 1, na, nb)
+
+
+def _across(apart: DataFrame, mixed: DataFrame, known: DataFrame, counts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that meet in crowded columns, counted and held against the bound of their sizes.
+
+    A class whose prefix ends first meets only those of the sizes that it can link with: both are dealt by column and range of
+    sizes, so classes that share a column but can't link by what is theirs alone are not paired. The counts over the other
+    columns are added, so what remains is held against all that the prefixes share."""
+    open_ = apart.join(mixed.select("h"), "h").join(known.select("cls", (F.col("m") - F.col("q")).alias("o")), "cls")
+    own = F.struct("last", "cls")  # a total order, so each pair is made once
+    x = open_.select("h", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("o").alias("oa"), F.col("component").alias("ca"), own.alias("enda"), _least_size(F.col("n")).alias("lo"), _most_size(F.col("n"), F.col("alone")).alias("hi")).where("hi >= lo")
+    x = x.withColumn("step", F.explode(F.sequence(_step(F.col("lo")), _step(F.col("hi")))))
+    y = open_.select("h", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("o").alias("ob"), F.col("component").alias("cb"), own.alias("endb"), _step(F.col("n")).alias("step"))
+    met = x.join(y, ["h", "step"]).where((F.col("enda") < F.col("endb")) & (F.col("ca") != F.col("cb")) & F.col("nb").between(F.col("lo"), F.col("hi")))
+    na, nb = F.col("na"), F.col("nb")
+    pairs = met.groupBy("a", "b", "na", "nb", "oa", "ob").agg(F.count("*").alias("q")).where(_reaches(F.col("q") + F.least("oa", "ob"), na, na, nb))
+    pairs = pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(counts.select(F.col("a").alias("x"), F.col("b").alias("y"), "c"), ["x", "y"], "left")
+    return pairs.where(_reaches(F.col("q") + F.coalesce("c", F.lit(0)), na, na, nb)).select("a", "b")
+
+
+def groups(docs: DataFrame, width: int = 5, crowd: int = 24, rounds: int = 3, bits: int = 26, least: int = 32, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, t, n, cls, first for each row: the 64-bit hash of its text, the size of its set, the hash of its set (null if
+    empty), and (nameless, doc_id, t) of the first row of its component, rows with a null doc_id coming last."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"), text.alias("text"))
     table = spark.sparkContext.broadcast(common_cells(rows.select("text"), width, bits, least))
     listed = shared.settle(_listed(rows, table, width, bits), "jaccard-listed")
-    classes = listed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    entries = classes.where("doc_id is not null").select("cls", F.explode("prefix").alias("h"))
-    met = entries.withColumn("g", F.count("*").over(Window.partitionBy("h"))).where("g > 1")
-    met = shared.settle(met, "jaccard-met")
-    last = F.struct("ends_common", F.element_at("prefix", -1).alias("h"))  # compares as the order of shingles does
-    sizes = shared.settle(listed.where("cls is not null").select("cls", "doc_id", "n", last.alias("last")).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("last").alias("last")), "jaccard-classes")
-
-    # what may link: pairs that meet under shingles of few classes, counted and held against their bound
-    crowded = met.where(F.col("g") > crowd)
-    known = shared.settle(met.groupBy("cls").agg(F.count("*").alias("m"), F.sum((F.col("g") > crowd).cast("long")).alias("q")).join(sizes, "cls").select("cls", "n", "last", "m", "q", (F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1 - F.col("m")).alias("alone")), "jaccard-known")
-    few = met.where(F.col("g") <= crowd).select("h", "cls")
-    pairs = few.withColumnRenamed("cls", "a").join(few.withColumnRenamed("cls", "b"), "h").where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
-    likely = shared.settle(_bounded(pairs, known), "jaccard-likely")
-    hot = shared.settle(crowded.select("h", "cls").join(known.select("cls", "n", "last", "alone"), "cls"), "jaccard-crowds")
-    wanted = likely.select(F.col("a").alias("cls")).union(likely.select("b")).union(hot.select("cls")).distinct().join(sizes, "cls")
-    sets = shared.settle(_whole_sets(rows, wanted.select("cls", "doc_id"), width), "jaccard-sets")
-    links = shared.settle(_linked(likely, sets), "jaccard-links")
+    facts = shared.settle(listed.select("doc_id", "t", "n", "cls"), "jaccard-facts")
+    last = F.struct((F.size("common") > 0).alias("common"), F.col("last").alias("h"))  # compares as the order of shingles does
+    one = listed.where("cls is not null").select("cls", "n", last.alias("last"), F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t").alias("first"))
+    sizes = shared.settle(one.groupBy("cls").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.min("first").alias("first")), "jaccard-classes")
+    met = shared.settle(_met(listed), "jaccard-met")
+    shared.discard(listed)
+
+    # what may link: pairs that meet in columns of few classes, counted and held against their bound
+    seen = met.groupBy("cls").agg(F.count("*").alias("m"), F.sum((F.col("g") > crowd).cast("long")).alias("q"))
+    known = seen.join(sizes, "cls").select("cls", "n", "last", "m", "q", (F.col("n") - _least_size(F.col("n")) + 1 - F.col("m")).alias("alone"))
+    known = shared.settle(known, "jaccard-known")
+    counts = shared.settle(_counted(met, crowd), "jaccard-counts")
+    likely = shared.settle(_bounded(counts, known), "jaccard-likely")
+    hot = met.where(F.col("g") > crowd).select("h", "cls").join(known.select("cls", "n", "last", "alone"), "cls")
+    hot = shared.settle(hot, "jaccard-crowds")
+    shared.discard(met)
+    wanted = likely.select(F.col("a").alias("cls")).union(likely.select("b")).union(hot.select("cls")).distinct()
+    wanted = shared.settle(wanted.join(sizes, "cls").select("cls", F.col("first.t").alias("t")), "jaccard-wanted")
+    sets = _whole_sets(rows, wanted, width)
+    shared.discard(wanted)
+    links = _linked(likely, sets, block)
+    shared.discard(likely)
     part = components(links, "jaccard")
 
     # crowds: one of them is compared with all others, then only pairs across components are left
@@ -269,56 +338,72 @@ def near_components(docs: DataFrame, width: int = 5, crowd: int = 24, rounds: in
     while k <= rounds:
         apart = hot.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", "last", "alone", F.coalesce("component", "cls").alias("component"))
         # first the class with the fewest shingles of its own, which is likely the one that others were made from
-        first = (F.col("alone") / F.col("n") if k % 2 == 0 else F.lit(0.0)).alias("first")
-        mixed = apart.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(first, F.xxhash64(F.lit(k), "cls").alias("r"), "cls", "n", "last", "alone", "component")).alias("centre")).where("lo < hi")
+        rank = (F.col("alone") / F.col("n") if k % 2 == 0 else F.lit(0.0)).alias("rank")
+        mixed = apart.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(rank, F.xxhash64(F.lit(k), "cls").alias("r"), "cls", "n", "last", "alone", "component")).alias("centre")).where("lo < hi")
         mixed = shared.settle(mixed, "jaccard-mixed")
         if mixed.isEmpty():
+            shared.discard(mixed)
             break
         if k < rounds:
-            near = apart.join(mixed.select("h", F.col("centre.cls").alias("c"), F.col("centre.component").alias("cc"), F.col("centre.n").alias("nc"), F.col("centre.last").alias("lastc"), F.col("centre.alone").alias("alonec")), "h").withColumnsRenamed({"n": "nx", "last": "lastx", "alone": "alonex"}).where((F.col("component") != F.col("cc")) & _possible("x", "c"))
-            tally = near.groupBy("cls", F.col("c").alias("centre")).count()
-            chosen = tally.groupBy("cls").agg(F.max_by("centre", F.struct("count", "centre")).alias("centre"))
-            chosen = chosen.select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
+            c = {f: F.col(f"centre.{f}") for f in ("n", "last", "alone")}
+            low = F.col("last") <= c["last"]
+            near = F.when(low, c["n"] <= _most_size(F.col("n"), F.col("alone"))).otherwise(F.col("n") <= _most_size(c["n"], c["alone"]))
+            near = near & (_least_size(F.greatest("n", c["n"])) <= F.least("n", c["n"])) & (F.col("component") != F.col("centre.component"))
+            tally = apart.join(mixed.select("h", "centre"), "h").where(near).groupBy("cls", F.col("centre.cls").alias("c")).count()
+            chosen = tally.groupBy("cls").agg(F.max_by("c", F.struct("count", "c")).alias("c")).select(F.col("cls").alias("a"), F.col("c").alias("b"))
         else:
-            open_ = apart.join(mixed.select("h"), "h").groupBy("cls", "n", "last", "alone", "component").agg(F.collect_list("h").alias("hs"))
-            open_ = shared.settle(open_.join(known.select("cls", (F.col("m") - F.col("q")).alias("o")), "cls"), "jaccard-open")
-            x, y = (open_.select(F.explode("hs").alias("h"), *[F.col(c).alias(f"{c}{s}") for c in open_.columns]) for s in "xy")
-            both = F.array_intersect("hsx", "hsy")
-            across = (F.col("clsx") < F.col("clsy")) & (F.col("componentx") != F.col("componenty")) & _possible("x", "y")
-            # a pair counts all its shared shingles at the first of them
-            reach = _reaches(F.size(both), "x", "y") & (F.array_min(both) == x["h"])
-            chosen = x.join(y, (x["h"] == y["h"]) & across & reach).select(F.col("clsx").alias("a"), F.col("clsy").alias("b"))
-        new = shared.settle(_linked(chosen, sets), "jaccard-links")
+            chosen = _across(apart, mixed, known, counts)
+        new = _linked(chosen, sets, block)
+        shared.discard(mixed)
         if new.isEmpty():
             k = max(k + 1, rounds)  # a round without links: only the pairs are left
         else:
-            links, k = links.union(new), k + 1
+            both, old = shared.settle(links.union(new), "jaccard-links"), (links, part)
+            links, k = both, k + 1
             part = components(links, "jaccard")
+            shared.discard(*old)
+        shared.discard(new)
+    shared.discard(known, counts, hot, sets, links)
 
-    named = sizes.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
+    named = sizes.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
     named = shared.settle(named, "jaccard-named")
-    least_id = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    least_id = shared.settle(least_id, "jaccard-least")
-    named = shared.settle(named.join(least_id, "component").select("cls", "component_id"), "jaccard-component")
-    return listed.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
+    named_first = named.groupBy("component").agg(F.min("first").alias("first"))
+    found = shared.settle(facts.join(named.select("cls", "component").join(named_first, "component").select("cls", "first"), "cls", "left").select("doc_id", "t", "n", "cls", "first"), "jaccard-groups")
+    shared.discard(facts, sizes, part, named)
+    return found
 
-def _reaches(counted: Column, x: str, y: str) -> Column:
-    """Whether an overlap can reach the bound that the sizes set: it is at most what is ``counted``, and as many of the
-    prefixes' other shingles (``o``) as both have, and what lies behind the prefix."""
-    nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
-    behind = F.greatest(F.floor(nx * 3 / 4), F.floor(ny * 3 / 4))  # n less its prefix is at most this
-    return _enough(counted + F.least(f"o{x}", f"o{y}") + behind, nx, ny)
-
-
-def _bounded(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs counted under shingles of few classes that can still link."""
-    a, b = (known.select(F.col("cls").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("n", "last", "alone")], F.col("q").alias(f"o{s}")) for s in "ab")
-    return pairs.join(a, "a").join(b, "b").where(_possible("a", "b") & _reaches(F.col("c"), "a", "b")).select("a", "b")
 
+def near_components(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row; documents link at a Jaccard similarity of 0.75 or more of their sets.
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; rows with a null doc_id, and one row of equal ids, stay."""
-    found = near_components(docs, id_col=id_col, **how)
-    kept = shared.settle(found.where("doc_id = component_id").select("doc_id").distinct(), "jaccard-kept")
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col(id_col) == F.col("_kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    A document without words (or null text) has an empty set and is its own component. Equal rows and equal doc_ids each
+    keep a row. Rows with a null doc_id take part like others; component_id is null where no row of a component has an id. See
+    ``groups`` for the parameters."""
+    found = groups(docs, **how)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest doc_id, a null one coming last.
+
+    Of repeated rows (equal doc_id and text) one stays, whichever. Documents without words link with nothing, so all of
+    them stay. The columns are those of ``docs``, whatever their names. Only rows that may go are shuffled with their texts:
+    a bitmap of fixed size tells them apart, and an exact join decides on them."""
+    found = groups(docs, id_col=id_col, text_col=text_col, **how).where("cls is not null")
+    key = F.xxhash64("doc_id", "t")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
+    verdicts = found.select(key.alias("key"), "doc_id", "t", kept.alias("kept")).groupBy("key", "doc_id", "t", "kept").agg(F.count("*").alias("rows"))
+    verdicts = shared.settle(verdicts.where("not kept or rows > 1"), "jaccard-verdicts")
+    shared.discard(found)
+    marks = shared.settle(shared.bitmap(verdicts, "key"), "jaccard-marks")
+
+    d, t, k, maybe = (shared.fresh(x, docs) for x in ("own_id", "own_text", "own_key", "own_mark"))
+    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    keyed = docs.withColumn(d, F.col(id_col).cast("long")).withColumn(t, text).withColumn(k, F.xxhash64(d, t))
+    keyed = shared.marked(keyed, k, marks, maybe)
+    v = verdicts.select(F.col("key").alias(f"{k}v"), F.col("doc_id").alias(f"{d}v"), F.col("t").alias(f"{t}v"), F.col("kept").alias(f"{maybe}v"))
+    judged = keyed.where(F.col(maybe)).join(v, (F.col(k) == F.col(f"{k}v")) & F.col(d).eqNullSafe(F.col(f"{d}v")) & (F.col(t) == F.col(f"{t}v")), "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(maybe)
+    again = judged.where(F.col(f"{maybe}v")).groupBy(k, d, t).agg(F.first(row).alias(maybe)).select(f"{maybe}.*")
+    through = judged.where(F.col(f"{maybe}v").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.where(~F.col(maybe)).select(*[F.col(f"`{c}`") for c in docs.columns]).union(through).union(again)

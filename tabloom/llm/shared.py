@@ -21,12 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a lost executor then costs no recomputation."""
+def settle(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: a lost executor then costs no recomputation.
+
+    With ``by`` the files are bucketed by that column, so that later joins on it do not shuffle them again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    name = f"{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    writer = df.write.option("compression", "zstd")
+    if by is None:
+        writer.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    else:
+        held = name.replace("-", "_")
+        writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).format("parquet").saveAsTable(held)
+        out = spark.table(held)
+        out._settled_as = held
     out._settled_at = path
     return out
 
@@ -36,11 +46,39 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_settled_at", None)
         if path:
+            if name := getattr(df, "_settled_as", None):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS `{name}`")
             jvm = df.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no column of ``frames`` is called so in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bitmap(keys: DataFrame, key: str, bits: int = 26) -> DataFrame:
+    """A bit for each of 2**bits cells of the hash ``key``, set where a row has it: at most 2**bits / 32768 rows of 4096 bytes,
+    whatever the input."""
+    cell = F.pmod(F.col(key), F.lit(1 << bits)) + 1  # buckets and positions count from 1
+    return keys.groupBy(F.bitmap_bucket_number(cell).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("marks"))
+
+
+def marked(df: DataFrame, key: str, marks: DataFrame, out: str, bits: int = 26) -> DataFrame:
+    """``df`` with a boolean ``out``: false where no row behind the bitmap has ``key``, true where one has it or by chance."""
+    bucket, mark = fresh("bucket", df), fresh("marks", df)
+    cell = F.pmod(F.col(key), F.lit(1 << bits)) + 1
+    at = F.bitmap_bit_position(cell)
+    byte = F.conv(F.hex(F.substring(mark, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2.0), at % 8).cast("int")) != 0, F.lit(False))
+    held = F.broadcast(marks.withColumnsRenamed({"bucket": bucket, "marks": mark}))  # 2**bits / 8 bytes
+    return df.join(held, F.bitmap_bucket_number(cell) == F.col(bucket), "left").withColumn(out, bit).drop(bucket, mark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -256,8 +256,36 @@ def test_jaccard_edges(spark, edges, nothing):
     want = brute_components([(r.doc_id, r.text) for r in known])
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.where("doc_id is not null").collect()} == want
     kept = jaccard.one_of_each(edges, bits=16)
-    assert kept.columns == edges.columns
-    assert {r.doc_id for r in kept.where("doc_id is not null").collect()} == {i for i, (_, c) in want.items() if i == c}
+    assert kept.columns == edges.columns and jaccard.one_of_each(nothing, bits=16).count() == 0
+    left = Counter((r.doc_id, r.text) for r in kept.collect())
+    words = {(r.doc_id, r.text) for r in known if want[r.doc_id][0]}
+    assert left == Counter([x for x in words if want[x[0]][1] == x[0]] + [(r.doc_id, r.text) for r in edges.collect() if not (r.text or "").split()])
+
+
+def test_one_of_each_rows(spark):
+    """Repeated rows, ids of several texts, rows without an id, and columns called as the operator's own."""
+    a, b, c, d = (prose(k, 40) for k in range(4))
+    made = [(1, a), (1, a), (2, a), (1, b), (None, b), (None, c), (None, c), (3, c + " end"), (None, d), (None, d), (None, d + " end"), (5, ""), (5, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, k, k, k, k) for k, (i, t) in enumerate(made)], "doc_id long, text string, _kept int, own_id int, OWN_MARK int, t int")
+    kept = jaccard.one_of_each(df, bits=16)
+    assert kept.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    (nameless,) = [x for x in got if x[0] is None and x[1] and x[1].startswith(d)]
+    assert got == Counter([(1, a), (1, b), (3, c + " end"), nameless, (5, ""), (5, ""), (None, None)])
+    found = {(r.doc_id, r.component_id) for r in jaccard.near_components(df.where("text is not null"), bits=16).collect()}
+    assert found == {(1, 1), (2, 1), (None, 1), (None, 3), (3, 3), (None, None), (5, 5)}
+
+
+@pytest.mark.parametrize("links", [False, True])
+def test_crowd_at_the_threshold(spark, links):
+    """Texts that share a passage and differ in the rest, the share being just under or at the threshold."""
+    own = 20 if links else 40
+    texts = [" ".join([prose(9, 204), *(f"w{k}x{j}" for j in range(own // 2))]) for k in range(150)]
+    texts = [t if links else t + " " + " ".join(f"v{k}y{j}" for j in range(own // 2)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows(texts), SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_components(df, bits=16).collect()}
+    want = brute_components(enumerate(texts))
+    assert got == want and len({c for _, c in want.values()}) == (1 if links else 150)
 
 
 # ---- quality ------------------------------------------------------------------------------------------

@@ -44,7 +44,7 @@ class _Hashes(dict):
 
         out = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= 400_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[word] = out
         return out
@@ -102,7 +102,7 @@ def _cells(h: np.ndarray, bits: int) -> np.ndarray:
     return (h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def common_cells(rows: DataFrame, width: int, bits: int, least: int, batch: int = 1 << 21) -> np.ndarray:
+def common_cells(rows: DataFrame, width: int, bits: int, least: int, batch: int = 1 << 20) -> np.ndarray:
     """A bit for each of 2**bits cells of the hashes: does it hold markedly more document-shingle pairs than others?
 
     A task adds up counts for some million shingles at a time and sends, for each chunk of 65536 cells, the cells in use;
@@ -137,6 +137,7 @@ def common_cells(rows: DataFrame, width: int, bits: int, least: int, batch: int
                         parts, held = [], 0
         if parts:
             yield sent(parts)
+        _CACHE.clear()  # the worker may serve other operators next
 
     def added(batches):
         import pyarrow as pa
@@ -205,6 +206,7 @@ def _listed(rows: DataFrame, table, width: int, bits: int) -> DataFrame:
                 commons.append(shared_)
                 lasts.append(int((shared_ if len(shared_) else rare)[-1]) if keep else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), arrays(rares), arrays(commons), pa.array(lasts, pa.int64())], ["doc_id", "t", "n", "cls", "rare", "common", "last"])
+        _CACHE.clear()
 
     return rows.mapInArrow(run, "doc_id long, t long, n long, cls long, rare array<long>, common array<long>, last long")
 
@@ -235,6 +237,7 @@ def _whole_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 if sets:
                     sizes = np.cumsum([0, *map(len, sets)])
                     yield pa.RecordBatch.from_pydict({"cls": pa.array([_class(s) for s in sets], pa.int64()), "shingles": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(sets)))})
+        _CACHE.clear()
 
     marks = shared.settle(shared.bitmap(wanted, "t"), "jaccard-marks")
     sets = shared.marked(rows.select("text", "t"), "t", marks, "wanted").where("wanted").select("text").mapInArrow(run, "cls long, shingles array<long>")

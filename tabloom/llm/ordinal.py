@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 DIMENSIONS = 1 << 18
 _STRIP = ".,;:!?\"'()[]{}|*#%&"
 
@@ -147,10 +149,12 @@ def score(docs: DataFrame, model: Model | None, keep_at: float = 0.5, id_col: st
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = ["expected_grade", *[f"tail_{k}" for k in range(1, levels)], "keep"]
     own = docs if carry else docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    text = "text_" + "_".join(own.columns)  # clashes with no column
-    rows = docs.withColumn(text, F.col(text_col).cast("string")) if carry else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias(text))
-    made = ["keep_" + text] if carry else names
-    columns = [*own.columns, *made]
+    held_text = carry and dict(docs.dtypes).get(text_col) == "string"  # then the text is sent to Python once
+    at = docs.columns.index(text_col) if held_text else len(own.columns)
+    kept = [F.col(f"`{c}`") for c in docs.columns] if carry else [F.col(id_col).cast("long").alias("doc_id")]
+    rows = docs if held_text else docs.select(*kept, F.col(text_col).cast("string").alias(shared.fresh("text", docs)))
+    made = [shared.fresh("keep", docs)] if carry else names
+    columns, width = [*own.columns, *made], len(own.columns)
     schema = T.StructType([*own.schema.fields, *[T.StructField(c, T.BooleanType() if c == made[-1] else T.DoubleType()) for c in made]])
 
     def run(batches):
@@ -158,7 +162,7 @@ def score(docs: DataFrame, model: Model | None, keep_at: float = 0.5, id_col: st
 
         model = held.value
         for b in batches:
-            n, column = b.num_rows, b.column(b.num_columns - 1)
+            n, column = b.num_rows, b.column(at)
             tails = np.zeros((n, levels - 1))
             if model is not None:
                 for lo in range(0, n, 500):
@@ -166,7 +170,8 @@ def score(docs: DataFrame, model: Model | None, keep_at: float = 0.5, id_col: st
             keep = pa.array(tails[:, -1] >= keep_at if model is not None else np.ones(n, bool))
             numbers = [pa.array(x) if model is not None else pa.nulls(n, pa.float64()) for x in (tails.sum(1), *tails.T)]
             out = [keep] if carry else [*numbers, keep]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], columns)
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], *out], columns)
+        _CACHE.clear()  # the worker may serve other operators next
 
     return rows.mapInArrow(run, schema)
 

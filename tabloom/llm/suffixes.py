@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: ASCII letters are lower-cased, other ASCII but digits becomes space, bytes from 128 on stay.
 _WORD_BYTES = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -159,8 +161,8 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield block
 
 
-def _matcher(held: list, window: int, shard_words: int, carry: int):
-    """A mapInArrow function over batches whose last column is the text; the first ``carry`` columns are kept.
+def _matcher(held: list, window: int, shard_words: int, carry: int, at: int = -1):
+    """A mapInArrow function over batches whose column ``at`` is the text; the first ``carry`` columns are kept.
 
     With ``carry`` columns kept it passes rows on with one more column, n_hit; without, it gives the rows of
     ``decontaminate``, the first column being the id."""
@@ -201,7 +203,7 @@ def _matcher(held: list, window: int, shard_words: int, carry: int):
         slices, seqs, total = [], [], 0
         for batch in batches:
             first = 0
-            for i, text in enumerate(batch.column(batch.num_columns - 1)):
+            for i, text in enumerate(batch.column(at % batch.num_columns)):
                 seqs.append(words(text.as_py()))
                 total += len(seqs[-1]) + 1
                 if total >= shard_words:
@@ -237,10 +239,13 @@ def select_clean(docs: DataFrame, items: DataFrame, window: int = 10, shard_word
     from pyspark.sql import types as T
 
     held = _held(docs, items, window, block_bytes, item_id_col, item_text_col)
-    n = "n_hit_" + "_".join(docs.columns)  # clashes with no column
-    rows = docs.withColumn("text_" + n, F.col(text_col).cast("string"))
+    n = shared.fresh("n_hit", docs)
+    if dict(docs.dtypes).get(text_col) == "string":  # then the text is sent to Python once
+        rows, at = docs, docs.columns.index(text_col)
+    else:
+        rows, at = docs.withColumn(shared.fresh("text", docs), F.col(text_col).cast("string")), -1
     schema = T.StructType([*docs.schema.fields, T.StructField(n, T.LongType())])
-    run, names = _matcher(held, window, shard_words, len(docs.columns)), [*docs.columns, n]
+    run, names = _matcher(held, window, shard_words, len(docs.columns), at), [*docs.columns, n]
 
     def named(batches):
         for b in run(batches):

@@ -161,6 +161,7 @@ def blocks(docs: DataFrame, vocab: str, end_id: int = 0, block_ids: int = 1 << 1
         if ids:
             yield closed()
 
+    shared.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"), F.monotonically_increasing_id().alias("m"))
     return rows.repartitionByRange(F.col("d").asc_nulls_first(), "m").sortWithinPartitions(F.col("d").asc_nulls_first(), "m").select("d", "t").mapInArrow(run, BLOCKS)
 

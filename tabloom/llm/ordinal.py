@@ -124,6 +124,8 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, most_rows: int =
     picked = ratings.orderBy(F.xxhash64(F.lit("rated"), "rated"), "rated", "grade").limit(most_rows).dropDuplicates(["rated"])
     rows = docs.select(F.col(id_col).cast("long").alias("rated"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "rated")  # at most ``most_rows`` narrow rows
 
+    shared.bounded_batches(docs.sparkSession)
+
     def run(batches):
         import pyarrow as pa
 
@@ -145,6 +147,7 @@ def score(docs: DataFrame, model: Model | None, keep_at: float = 0.5, id_col: st
     are kept."""
     from pyspark.sql import types as T
 
+    shared.bounded_batches(docs.sparkSession)
     levels = 1 + (len(model.thresholds) if model is not None else 2)
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = ["expected_grade", *[f"tail_{k}" for k in range(1, levels)], "keep"]

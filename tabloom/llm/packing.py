@@ -55,6 +55,7 @@ def pieces(docs: DataFrame, vocab: str, end_id: int = 1, capacity: int = 4096, i
         if out:
             yield full()
 
+    shared.bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, PIECES)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -53,6 +54,17 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def bounded_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Let Spark send at most about ``most_bytes`` (or one row) to a Python worker at a time, as texts may be long. A lower
+    limit of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.match(r"\d+", spark.conf.get(key, None) or "")
+    digits, unit = (held[0], spark.conf.get(key)[held.end() :].strip().lower()[:1]) if held else ("0", "")
+    now = int(digits) << {"k": 10, "m": 20, "g": 30}.get(unit, 0)
+    if not 0 < now <= most_bytes:
+        spark.conf.set(key, str(most_bytes))
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """``name``, lengthened until no column of ``frames`` is called so in any case."""
     taken = {c.lower() for df in frames for c in df.columns}

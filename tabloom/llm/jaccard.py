@@ -93,9 +93,13 @@ def _most_size(n: Column, alone: Column) -> Column:
     return F.least(F.floor(4 * n / 3), F.floor((4 * n - 7 * alone) / 3))
 
 
+#: Ratio of the ends of a range of sizes.
+_RANGE = 1.05
+
+
 def _step(n: Column) -> Column:
-    """Sizes in ranges of which each is a fifth longer than the one before."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.2)))
+    """Sizes in ranges of which each is a twentieth longer than the one before."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(_RANGE)))
 
 
 def _cells(h: np.ndarray, bits: int) -> np.ndarray:
@@ -224,8 +228,9 @@ def _met(listed: DataFrame) -> DataFrame:
 
 
 def _whole_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """cls and its whole set for the classes in ``wanted`` (cls, t). Texts are picked by a bitmap of fixed size, so they are
-    not shuffled; the few that it lets through by chance go in the join on the class. The result is bucketed by class."""
+    """cls and its whole set for the classes in ``wanted`` (cls, and key, the hash of the id and text of its first row). Texts
+    are picked by a bitmap of fixed size, so they are not shuffled; the few that it lets through by chance go in the join on
+    the class. The result is bucketed by class."""
 
     def run(batches):
         import pyarrow as pa
@@ -239,10 +244,10 @@ def _whole_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"cls": pa.array([_class(s) for s in sets], pa.int64()), "shingles": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(sets)))})
         _CACHE.clear()
 
-    marks = shared.settle(shared.bitmap(wanted, "t"), "jaccard-marks")
-    sets = shared.marked(rows.select("text", "t"), "t", marks, "wanted").where("wanted").select("text").mapInArrow(run, "cls long, shingles array<long>")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = sets.join(wanted.select("cls"), "cls", "left_semi").repartition(parts, "cls").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    marks = shared.settle(shared.bitmap(wanted, "key"), "jaccard-marks")
+    keyed = rows.select("text", F.xxhash64("doc_id", "t").alias("key"))
+    sets = shared.marked(keyed, "key", marks, "wanted").where("wanted").select("text").mapInArrow(run, "cls long, shingles array<long>")
+    sets = sets.groupBy("cls").agg(F.first("shingles").alias("shingles")).join(wanted.select("cls"), "cls", "left_semi")
     sets = shared.settle(sets, "jaccard-sets", by="cls")
     shared.discard(marks)
     return sets
@@ -286,28 +291,37 @@ def _reaches(shared_: Column, first: Column, na: Column, nb: Column) -> Column:
     return _enough(shared_ + _least_size(first) - 1, na, nb)
 
 
-def _across(apart: DataFrame, mixed: DataFrame, known: DataFrame, counts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that meet in crowded columns, counted and held against the bound of their sizes.
+def _across(apart: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that meet in crowded columns alone and that their sizes let link.
+
+    Let a be the class whose prefix ends first. It meets only classes of the sizes that it can link with, and must share with
+    them ``t`` of its crowded columns, as what lies behind its prefix adds at most ``needed`` - 1. Of sets that share t of one
+    global order, the first they share is not among the last t - 1 of either, so these are left out on both sides. Both
+    are dealt by column and by ranges of both sizes, so classes that share a column but can't link are not paired."""
+    mine = Window.partitionBy("cls")  # at most the shingles of one text
+    open_ = apart.join(mixed.select("h"), "h").select("*", F.row_number().over(mine.orderBy("g", "h")).alias("rank"), F.count("*").over(mine).alias("q"))
+    n, own = F.col("n"), F.struct("last", "cls")  # a total order, so each pair is made once
+
+    def least_shared(na: Column, nb: Column) -> Column:
+        return F.ceil(3 * (na + nb) / 7) - _least_size(na) + 1
 
-    A class whose prefix ends first meets only those of the sizes that it can link with: both are dealt by column and range of
-    sizes, so classes that share a column but can't link by what is theirs alone are not paired. The counts over the other
-    columns are added, so what remains is held against all that the prefixes share."""
-    open_ = apart.join(mixed.select("h"), "h").join(known.select("cls", (F.col("m") - F.col("q")).alias("o")), "cls")
-    own = F.struct("last", "cls")  # a total order, so each pair is made once
-    x = open_.select("h", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("o").alias("oa"), F.col("component").alias("ca"), own.alias("enda"), _least_size(F.col("n")).alias("lo"), _most_size(F.col("n"), F.col("alone")).alias("hi")).where("hi >= lo")
-    x = x.withColumn("step", F.explode(F.sequence(_step(F.col("lo")), _step(F.col("hi")))))
-    y = open_.select("h", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("o").alias("ob"), F.col("component").alias("cb"), own.alias("endb"), _step(F.col("n")).alias("step"))
-    met = x.join(y, ["h", "step"]).where((F.col("enda") < F.col("endb")) & (F.col("ca") != F.col("cb")) & F.col("nb").between(F.col("lo"), F.col("hi")))
-    na, nb = F.col("na"), F.col("nb")
-    pairs = met.groupBy("a", "b", "na", "nb", "oa", "ob").agg(F.count("*").alias("q")).where(_reaches(F.col("q") + F.least("oa", "ob"), na, na, nb))
-    pairs = pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(counts.select(F.col("a").alias("x"), F.col("b").alias("y"), "c"), ["x", "y"], "left")
-    return pairs.where(_reaches(F.col("q") + F.coalesce("c", F.lit(0)), na, na, nb)).select("a", "b")
+    x = open_.select("h", "rank", "q", "n", F.col("cls").alias("a"), F.col("component").alias("ca"), own.alias("enda"), _least_size(n).alias("lo"), _most_size(n, F.col("apart")).alias("hi"), _step(n).alias("stepa")).where("hi >= lo")
+    x = x.withColumn("stepb", F.explode(F.sequence(_step(F.col("lo")), _step(F.col("hi")))))
+    smallest = F.greatest("lo", F.floor(F.pow(F.lit(_RANGE), "stepb") * (1 - 1e-9)))
+    x = x.where(F.col("rank") <= F.col("q") + 1 - F.greatest(F.lit(1), least_shared(n, smallest)))
+    y = open_.select("h", "rank", "q", F.col("cls").alias("b"), n.alias("nb"), F.col("component").alias("cb"), own.alias("endb"), _step(n).alias("stepb"), F.explode(F.sequence(_step(_least_size(n)), _step(F.floor(4 * n / 3)))).alias("stepa"))
+    largest = F.least(F.floor(4 * F.col("nb") / 3), F.ceil(F.pow(F.lit(_RANGE), F.col("stepa") + 1) * (1 + 1e-9)))
+    # least_shared falls as a grows, but for one that rounding may add
+    y = y.where(F.col("rank") <= F.col("q") + 1 - F.greatest(F.lit(1), least_shared(largest, F.col("nb")) - 1))
+    met = x.drop("rank", "q", "n").join(y.drop("rank", "q"), ["h", "stepa", "stepb"])
+    return met.where((F.col("enda") < F.col("endb")) & (F.col("ca") != F.col("cb")) & F.col("nb").between(F.col("lo"), F.col("hi"))).select("a", "b").distinct()
 
 
 def groups(docs: DataFrame, width: int = 5, crowd: int = 24, rounds: int = 3, bits: int = 26, least: int = 32, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, t, n, cls, first for each row: the 64-bit hash of its text, the size of its set, the hash of its set (null if
     empty), and (nameless, doc_id, t) of the first row of its component, rows with a null doc_id coming last."""
     spark = docs.sparkSession
+    shared.bounded_batches(spark)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"), text.alias("text"))
     table = spark.sparkContext.broadcast(common_cells(rows.select("text"), width, bits, least))
@@ -325,37 +339,37 @@ def groups(docs: DataFrame, width: int = 5, crowd: int = 24, rounds: int = 3, bi
     known = shared.settle(known, "jaccard-known")
     counts = shared.settle(_counted(met, crowd), "jaccard-counts")
     likely = shared.settle(_bounded(counts, known), "jaccard-likely")
-    hot = met.where(F.col("g") > crowd).select("h", "cls").join(known.select("cls", "n", "last", "alone"), "cls")
+    # pairs that meet in some column of few classes are decided above; for others all those are ``apart``
+    hot = met.where(F.col("g") > crowd).select("h", "g", "cls").join(known.select("cls", "n", "last", (F.col("alone") + F.col("m") - F.col("q")).alias("apart")), "cls")
     hot = shared.settle(hot, "jaccard-crowds")
     shared.discard(met)
     wanted = likely.select(F.col("a").alias("cls")).union(likely.select("b")).union(hot.select("cls")).distinct()
-    wanted = shared.settle(wanted.join(sizes, "cls").select("cls", F.col("first.t").alias("t")), "jaccard-wanted")
+    wanted = shared.settle(wanted.join(sizes, "cls").select("cls", F.xxhash64("first.doc_id", "first.t").alias("key")), "jaccard-wanted")
     sets = _whole_sets(rows, wanted, width)
-    shared.discard(wanted)
     links = _linked(likely, sets, block)
-    shared.discard(likely)
+    shared.discard(wanted, known, counts, likely)
     part = components(links, "jaccard")
 
     # crowds: one of them is compared with all others, then only pairs across components are left
     k = 0
     while k <= rounds:
-        apart = hot.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", "last", "alone", F.coalesce("component", "cls").alias("component"))
+        apart = hot.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("h", "g", "cls", "n", "last", "apart", F.coalesce("component", "cls").alias("component"))
         # first the class with the fewest shingles of its own, which is likely the one that others were made from
-        rank = (F.col("alone") / F.col("n") if k % 2 == 0 else F.lit(0.0)).alias("rank")
-        mixed = apart.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(rank, F.xxhash64(F.lit(k), "cls").alias("r"), "cls", "n", "last", "alone", "component")).alias("centre")).where("lo < hi")
+        rank = (F.col("apart") / F.col("n") if k % 2 == 0 else F.lit(0.0)).alias("rank")
+        mixed = apart.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(rank, F.xxhash64(F.lit(k), "cls").alias("r"), "cls", "n", "last", "apart", "component")).alias("centre")).where("lo < hi")
         mixed = shared.settle(mixed, "jaccard-mixed")
         if mixed.isEmpty():
             shared.discard(mixed)
             break
         if k < rounds:
-            c = {f: F.col(f"centre.{f}") for f in ("n", "last", "alone")}
+            c = {f: F.col(f"centre.{f}") for f in ("n", "last", "apart")}
             low = F.col("last") <= c["last"]
-            near = F.when(low, c["n"] <= _most_size(F.col("n"), F.col("alone"))).otherwise(F.col("n") <= _most_size(c["n"], c["alone"]))
+            near = F.when(low, c["n"] <= _most_size(F.col("n"), F.col("apart"))).otherwise(F.col("n") <= _most_size(c["n"], c["apart"]))
             near = near & (_least_size(F.greatest("n", c["n"])) <= F.least("n", c["n"])) & (F.col("component") != F.col("centre.component"))
             tally = apart.join(mixed.select("h", "centre"), "h").where(near).groupBy("cls", F.col("centre.cls").alias("c")).count()
             chosen = tally.groupBy("cls").agg(F.max_by("c", F.struct("count", "c")).alias("c")).select(F.col("cls").alias("a"), F.col("c").alias("b"))
         else:
-            chosen = _across(apart, mixed, known, counts)
+            chosen = _across(apart, mixed)
         new = _linked(chosen, sets, block)
         shared.discard(mixed)
         if new.isEmpty():
@@ -366,7 +380,7 @@ def groups(docs: DataFrame, width: int = 5, crowd: int = 24, rounds: int = 3, bi
             part = components(links, "jaccard")
             shared.discard(*old)
         shared.discard(new)
-    shared.discard(known, counts, hot, sets, links)
+    shared.discard(hot, sets, links)
 
     named = sizes.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
     named = shared.settle(named, "jaccard-named")

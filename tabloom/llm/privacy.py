@@ -79,26 +79,30 @@ def sanitise(docs: DataFrame, support: int = 3, generalise_at: float = 0.9, remo
     """A row for each document: doc_id, n_email, n_ip, n_card, n_phone, base, terms, redacted.
 
     ``base`` is the written spans of the patterns, ``terms`` an array of (s, e, action, kind), ``redacted`` the text with
-    entities and disclosing terms replaced. With ``carry`` the result is ``docs`` with its text column redacted. Null
-    texts count as empty and stay null in ``redacted``. Rows may repeat; equal rows have equal results."""
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    named = docs.select(F.monotonically_increasing_id().alias("_uid"), F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []))
-    stored = shared.settle(named.withColumn("_t", text).withColumn("_f", found("_t")).drop("_t"), "pii-found")
+    entities and disclosing terms replaced. With ``carry`` the result is ``docs`` with its text column redacted, whatever the
+    names of its columns. Null texts count as empty and stay null in ``redacted``. Rows may repeat; equal rows have equal
+    results. An empty table gives no rows. Rows without an entity pass through: only those with one are stored or shuffled."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
+    named = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"), *row)
+    named = named.withColumn("_t", F.coalesce("_text", F.lit(""))).withColumn("_f", found("_t")).drop("_t")
+    some = " or ".join(f"size(_f.{k}) > 0" for k in PATTERNS)
     every = "array_sort(flatten(array(" + ", ".join(f"transform(_f.{k}, x -> named_struct('s', x.s, 'e', x.e, 'kind', '{k}', 'v', x.v))" for k in PATTERNS) + ")))"
-    stored_spans = stored.select("_uid", "_text", F.expr(every).alias("_all")).where("size(_all) > 0")
-    n, th = stored.count(), F.xxhash64("_text").alias("th")
-    held = stored_spans.select("_uid", th, F.explode(F.expr("array_distinct(transform(_all, x -> named_struct('kind', x.kind, 'v', x.v)))")).alias("c")).select("_uid", "th", "c.*")
+    # only documents that hold an entity can change, so the rest is neither stored nor shuffled
+    stored = shared.settle(named.where(some).withColumns({"_uid": F.monotonically_increasing_id(), "_all": F.expr(every)}), "pii-held")
+    n, th = docs.count(), F.xxhash64("_text").alias("th")
+    held = stored.select("_uid", th, F.explode(F.expr("array_distinct(transform(_all, x -> named_struct('kind', x.kind, 'v', x.v)))")).alias("c")).select("_uid", "th", "c.*")
     entities = held.groupBy("kind", "v").agg(F.count("*").alias("n_c"), F.count_distinct("th").alias("texts_c")).where(F.col("n_c") < n)
     entities = shared.settle(entities, "pii-entities")
     # with n_ct <= min(n_c, n_t) no term in more rows than this can reach generalise_at beside any entity
     most = entities.agg(F.max("n_c")).first()[0] or 1
     bound = n ** (1 - generalise_at) * most**generalise_at * (1 + 1e-9) if n else 0
     distinct = F.array_distinct(F.transform(F.expr(f"regexp_extract_all(_text, r'{WORD}', 0)"), F.lower))
-    terms = stored.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= bound)
+    terms = docs.select(F.col(text_col).cast("string").alias("_text")).select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= bound)
     own = held.join(entities, ["kind", "v"]).groupBy("_uid", "th").agg(F.collect_list(F.struct("kind", "v", "n_c", "texts_c")).alias("cs"))
     likely = F.filter("cs", lambda c: n * F.least(c["n_c"], F.col("n_t")) / (c["n_c"].cast("double") * F.col("n_t")) >= F.pow(n / c["n_c"], F.lit(generalise_at)) * (1 - 1e-9))
-    words = stored_spans.select("_uid", F.explode(distinct).alias("term")).join(terms, "term").join(own, "_uid")
-    pairs = words.select("_uid", "th", "term", "n_t", F.explode(likely).alias("c")).select("_uid", "th", "term", "n_t", "c.*")
+    words = stored.select("_uid", F.explode(F.expr(spans("_text", WORD))).alias("x")).select("_uid", F.lower("x.v").alias("term"), "x.s", "x.e")
+    words = words.join(terms, "term").repartition("_uid").groupBy("_uid", "term", "n_t").agg(F.collect_list(F.struct("s", "e")).alias("places")).join(own, "_uid")
+    pairs = words.select("_uid", "th", "term", "n_t", "places", F.explode(likely).alias("c")).select("_uid", "th", "term", "n_t", "places", "c.*")
     pairs = shared.settle(pairs, "pii-pairs")
     pair = ["kind", "v", "term", "n_c", "texts_c", "n_t"]
     told = pairs.groupBy(*pair, "th").agg(F.count("*").alias("rows")).groupBy(*pair).agg(F.sum("rows").alias("n_ct"), F.count("*").alias("texts"))
@@ -107,17 +111,20 @@ def sanitise(docs: DataFrame, support: int = 3, generalise_at: float = 0.9, remo
     share = F.when(often, raw).otherwise(F.least(raw, (F.col("n_ct") + 1) / (F.col("n_t") + 2)))
     told = told.withColumn("disclosure", F.log(n * share / F.col("n_c")) / F.log(n / F.col("n_c")))
     told = told.where(F.col("disclosure") >= generalise_at).select("kind", "v", "term", F.when(often & (F.col("disclosure") >= remove_at), "remove").otherwise("generalise").alias("action"))
-    told = shared.settle(pairs.join(told, ["kind", "v", "term"]).select("_uid", "term", "action", "kind").distinct(), "pii-told")
-    places = stored_spans.join(told.select("_uid").distinct(), "_uid", "left_semi").select("_uid", F.explode(F.expr(spans("_text", WORD))).alias("x"))
-    marked = places.select("_uid", F.lower("x.v").alias("term"), "x.s", "x.e").join(told, ["_uid", "term"]).groupBy("_uid").agg(F.array_sort(F.collect_set(F.struct("s", "e", "action", "kind"))).alias("_terms"))
-    marked = shared.settle(marked, "pii-marked")
+    at = pairs.join(told, ["kind", "v", "term"]).select("_uid", F.explode("places").alias("x"), "action", "kind").select("_uid", "x.*", "action", "kind")
+    marked = shared.settle(at.groupBy("_uid").agg(F.array_sort(F.collect_set(F.struct("s", "e", "action", "kind"))).alias("_terms")), "pii-marked")
+    shared.discard(entities, pairs)
     out = stored.join(marked, "_uid", "left")
     clear = f"element_at(transform(array({every}), bs -> filter(_terms, t -> not exists(bs, b -> t.s < b.e and b.s < t.e))), 1)"
     out = out.withColumn("terms", F.expr(f"if(_terms is null, cast(array() as array<struct<s:int,e:int,action:string,kind:string>>), {clear})"))
     labels = f"array_sort(concat(transform({every}, x -> named_struct('s', x.s, 'e', x.e, 'l', concat('[', upper(x.kind), ']'))), transform(terms, x -> named_struct('s', x.s, 'e', x.e, 'l', if(x.action = 'remove', '', concat('[near ', x.kind, ']'))))))"
     cut = "aggregate(ls, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, x) -> if(x.s >= a.at, named_struct('at', x.e, 'out', concat(a.out, array(substring(_text, a.at + 1, x.s - a.at), x.l))), named_struct('at', greatest(a.at, x.e), 'out', a.out)), a -> concat(array_join(a.out, ''), substring(_text, a.at + 1)))"
     redacted = F.expr(f"element_at(transform(array({labels}), ls -> if(size(ls) = 0, _text, {cut})), 1)")
+    rest = named.where(f"not ({some})")
     if carry:
-        return out.select(*[redacted.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+        own_row = lambda df, changed: df.select(*[changed.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+        return own_row(out, redacted).union(own_row(rest, F.col("_text")))
     counts = [F.size(f"_f.{k}").cast("long").alias(f"n_{k}") for k in PATTERNS]
-    return out.select(F.col("_doc").alias("doc_id"), *counts, F.array_join(F.expr(_written("_f")), ",").alias("base"), "terms", redacted.alias("redacted"))
+    none = F.expr("cast(array() as array<struct<s:int,e:int,action:string,kind:string>>)").alias("terms")
+    rest = rest.select(F.col("_doc").alias("doc_id"), *[F.lit(0).cast("long").alias(f"n_{k}") for k in PATTERNS], F.lit("").alias("base"), none, F.col("_text").alias("redacted"))
+    return out.select(F.col("_doc").alias("doc_id"), *counts, F.array_join(F.expr(_written("_f")), ",").alias("base"), "terms", redacted.alias("redacted")).union(rest)

@@ -4,7 +4,8 @@ Both supported vocabularies split a text into words before merging. In the byte-
 characters that are not white space always starts a new word; in the other one white space always parts words and is
 dropped, and letters are lower-cased. Marks that end a piece after a Latin letter or digit are a word of their own in both.
 Cutting at these places and joining the ids of the parts therefore gives the ids of the whole text. Texts for which this
-is not so plain (white space that touches a space, separators that only one side takes for white space) are encoded whole.
+is not so plain (white space that touches a space, separators that only one side takes for white space, strings of added
+tokens, which have an id of their own) are encoded whole.
 
 Pieces that are not in the cache are encoded together, in one call for each text, where their ids can be told apart:
 tokens that begin with a space mark the beginning of a piece, tokens that end a word its end.
@@ -12,6 +13,7 @@ tokens that begin with a space mark the beginning of a piece, tokens that end a
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -33,7 +35,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self._tok.get_added_tokens_decoder().values()]
+        self._added_start = os.path.commonprefix(added)
+        self._added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
         self._most, self._new, self._old, self._mark_ids = cache, {}, {}, {}
         names = self._tok.get_vocab()
         self._opens, self._ends = (np.zeros(max(names.values()) + 1, bool) for _ in range(2))
@@ -70,6 +74,8 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self._added_start in text and self._added.search(text):
+            return self._whole(text)
         first = b""
         if self._by_word:
             if _SEPARATORS.search(text):

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -65,5 +66,24 @@ def test_stages(spark):
     assert privacy is not None
 
 
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES[:-1]])
+def test_stage_edges(spark, edges, nothing, stage):
+    """Nulls, empty and long texts, repeated rows, clashing names and empty tables go through every stage."""
+    f = dict(corpus_pipeline.STAGES)[stage]
+    assert f(spark, nothing, SF).count() == 0 and f(spark, nothing, SF).columns == nothing.columns
+    out = f(spark, edges, SF)
+    assert out.dtypes == edges.dtypes
+    have = Counter((r.doc_id, r.text) for r in edges.collect())
+    kept = Counter((r.doc_id, r.text) for r in out.collect())
+    assert kept <= have and (stage != "personal_data" or kept == have)
+    # as does what the other stages make of it
+    assert f(spark, dict(corpus_pipeline.STAGES)["personal_data"](spark, edges, SF), SF).columns == edges.columns
+
+
+def test_pack_edges(spark, edges, nothing):
+    assert corpus_pipeline.pack(spark, nothing, SF).count() == 0
+    assert corpus_pipeline.pack(spark, edges, SF).where("piece = 0").count() == edges.count()
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0

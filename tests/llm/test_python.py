@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -151,12 +152,19 @@ def brute_hits(texts, items, window):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=25), min_size=1, max_size=6), st.lists(st.lists(st.sampled_from("abcd"), max_size=12), max_size=5), st.integers(1, 5))
 def test_match_shard(docs, items, window):
+    for most in (1 << 20, 1, 6):
+        match_shard_is_right(docs, items, window, most)
+
+
+def match_shard_is_right(docs, items, window, most):
     texts, named = [" ".join(d) for d in docs], [(str(i), " ".join(x)) for i, x in enumerate(items)]
     it = suffixes.Items(named, window)
     seqs = [suffixes.words(t) for t in texts]
     ids = np.concatenate([[*[it.vocabulary.get(w, 0) for w in s], 0] for s in seqs]).astype(np.int32)
     doc_of = np.repeat(np.arange(len(seqs)), [len(s) + 1 for s in seqs])
-    hit, runs = suffixes.match_shard(ids, doc_of, it)
+    hit, runs = suffixes.match_shard(ids, doc_of, it, most=most)
+    same, pairs = suffixes.match_shard(ids, doc_of, it, locate=False, most=most)
+    assert (hit == same).all() and pairs[:, :2].tolist() == runs[:, :2].tolist()
     want = brute_hits(texts, named, window)
     assert [int(hit[doc_of == d].sum()) for d in range(len(seqs))] == [w[1] for w in want]
     assert [sorted(it.names[i] for d2, i, _, _ in runs.tolist() if d2 == d) for d in range(len(seqs))] == [w[2] for w in want]
@@ -169,6 +177,17 @@ def test_match_shard(docs, items, window):
         assert n == longest
 
 
+def test_repeated_words_take_memory_by_length():
+    """An item and a document of one word each: all places of all windows would be 80 million rows."""
+    it = suffixes.Items([(str(k), "a " * 2000) for k in range(3)] + [("x", "a " * 9 + "b")], 10)
+    ids = np.array([*[it.vocabulary[b"a"]] * 40_000, 0], np.int32)
+    tracemalloc.start()
+    hit, runs = suffixes.match_shard(ids, np.zeros(len(ids), np.int64), it)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert hit.sum() == 40_000 and runs.tolist() == [[0, k, 0, 2000] for k in range(3)]
+
+
 def test_decontaminate(spark, edges, nothing):
     base = prose(5, 40)
     items = [(1, prose(50, 30)), (2, base), (3, "one"), (4, None), (5, ""), (6, base), (None, base), (7, "two WORDS")]

@@ -17,12 +17,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 # Fixed values of the format: tag numbers, sizes of field types, compression codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 317, 322, 323, 324, 325
 TYPE_CODES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+# The most bytes that a byte of a compressed chunk can stand for; an LZW code of 9 bits or more is at most 4096 bytes.
+MOST_RATIO = {NONE: 1, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 128}
+READ = {WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES}
 
 
 class TiffError(ValueError):
@@ -42,15 +47,18 @@ class Page:
     pixels: bytes  # rows from the top, samples of a pixel together, in the byte order of the file
 
 
-def unpack_bits(data: bytes) -> bytes:
-    out, i, n = [], 0, len(data)
-    while i < n:
+def unpack_bits(data: bytes, most: int = 1 << 62) -> bytes:
+    """``most``: decoding ends once there are more bytes than that."""
+    out, i, n, made = [], 0, len(data), 0
+    while i < n and made <= most:
         k = data[i]
         if k < 128:
             out.append(data[i + 1 : i + 2 + k])
+            made += len(out[-1])
             i += k + 2
         elif k > 128:
             out.append(data[i + 1 : i + 2] * (257 - k))
+            made += len(out[-1])
             i += 2
         else:
             i += 1
@@ -76,8 +84,9 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first, growing one code early; 256 clears, 257 ends."""
+def lzw_decode(data: bytes, most: int = 1 << 62) -> bytes:
+    """Codes of 9 to 12 bits, high bit first, growing one code early; 256 clears, 257 ends. ``most`` as above."""
+    made = 0
     fresh = [bytes((i,)) for i in range(256)] + [b"", b""]
     table, out, size, held, bits, last = list(fresh), [], 9, 0, 0, None
     for byte in data:
@@ -94,13 +103,17 @@ def lzw_decode(data: bytes) -> bytes:
         if last is None:
             word = table[code]
         else:
-            if code > len(table):
+            if code > len(table) or code >= 4096:
                 raise TiffError("an LZW code is out of range")
             word = table[code] if code < len(table) else last + last[:1]
-            table.append(last + word[:1])
+            if len(table) < 4096:
+                table.append(last + word[:1])
             if len(table) + 1 >= 1 << size and size < 12:
                 size += 1
         out.append(word)
+        made += len(word)
+        if made > most:
+            break
         last = word
     return b"".join(out)
 
@@ -152,22 +165,26 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _unpacked(data: bytes, compression: int) -> bytes:
+def _unpacked(data: bytes, compression: int, most: int) -> bytes:
+    """The bytes of a chunk, no more than a little beyond ``most`` being made."""
     if compression == NONE:
         return data
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompressobj().decompress(data)
+        stream = zlib.decompressobj()
+        out = stream.decompress(data, most + 1)
+        if len(out) <= most and not stream.eof:
+            raise TiffError("a deflate stream is cut off")
+        return out
     if compression == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, most)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     raise TiffError(f"compression {compression} is not read")
 
 
 def _undone(data: bytes, rows: int, width: int, samples: int, bits: int, predictor: int, order: str) -> bytes:
-    """The chunk without its predictor; short chunks are filled with zeros, long ones cut."""
-    size = rows * ((width * samples * bits + 7) // 8)
-    data = data[:size].ljust(size, b"\0")
+    """The chunk, of this many rows, without its predictor."""
+    size = len(data)
     if predictor == 1 or not size:
         return data
     if predictor == 2 and bits in (8, 16, 32, 64):
@@ -191,7 +208,7 @@ def _directory(blob: bytes, at: int, order: str, big: bool) -> tuple[dict[int, t
         p = at + entry * i
         tag, kind = struct.unpack_from(order + "HH", blob, p)
         count = struct.unpack_from(order + following, blob, p + 4)[0]
-        if kind in TYPE_CODES:
+        if kind in TYPE_CODES and tag in READ and tag not in tags:
             fmt = f"{order}{count}{TYPE_CODES[kind]}"
             spot = p + 4 + room
             if struct.calcsize(fmt) > room:
@@ -209,17 +226,30 @@ def _page(blob: bytes, tags: dict[int, tuple], index: int, order: str) -> Page:
     bits, compression, predictor, planar = each[0], one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
     if len(set(each)) > 1:
         raise TiffError("samples of unequal depth are not read")
+    if compression not in MOST_RATIO:
+        raise TiffError(f"compression {compression} is not read")
+    if min(width, height) < 0 or samples < 1 or bits not in (1, 2, 4, 8, 16, 32, 64):
+        raise TiffError("sizes or depths are out of range")
     planes, within = (samples, 1) if planar == 2 else (1, samples)
     tiled = TILE_AT in tags
     if tiled:
         w, h, spots, sizes = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0], tags[TILE_AT], tags[TILE_BYTES]
+        if w < 1 or h < 1:
+            raise TiffError("tiles have no size")
     else:
         w, h, spots, sizes = width, min(one(ROWS_PER_STRIP, height), height) or 1, tags.get(STRIP_AT, ()), tags.get(STRIP_BYTES, ())
     if bits % 8 and (tiled or planes > 1):
         raise TiffError("tiles and planes of partial bytes are not read")
     across, down = -(-width // w) if w else 0, -(-height // h)
-    if len(spots) < planes * across * down:
+    need = planes * across * down
+    if min(len(spots), len(sizes)) < need:
         raise TiffError("strips or tiles are missing")
+    if any(a < 0 or b < 0 or a + b > len(blob) for a, b in zip(spots[:need], sizes[:need], strict=True)):
+        raise TiffError("a strip or tile is outside the file")
+    within_line = (w * within * bits + 7) // 8
+    # before anything is allocated: no more than these chunks can decode to
+    if planes * height * ((width * within * bits + 7) // 8) > MOST_RATIO[compression] * sum(sizes[:need]) or (need and h * within_line > MOST_RATIO[compression] * len(blob)):
+        raise TiffError("the image is larger than its data can be")
     line = (width * within * bits + 7) // 8
     cell = within * bits // 8
     sheets = []
@@ -229,7 +259,11 @@ def _page(blob: bytes, tags: dict[int, tuple], index: int, order: str) -> Page:
             for x in range(across):
                 i = (plane * down + y) * across + x
                 rows = h if tiled else min(h, height - y * h)
-                data = _undone(_unpacked(blob[spots[i] : spots[i] + sizes[i]], compression), rows, w, within, bits, predictor, order)
+                size, full = rows * within_line, h * within_line  # the last strip may be written as a full one
+                data = _unpacked(blob[spots[i] : spots[i] + sizes[i]], compression, full)
+                if len(data) != size and len(data) != full:
+                    raise TiffError("a strip or tile has not the bytes of its rows")
+                data = _undone(data[:size], rows, w, within, bits, predictor, order)
                 a = np.frombuffer(data, np.uint8).reshape(rows, -1)
                 keep = min(rows, height - y * h)
                 left = x * w * cell
@@ -258,12 +292,15 @@ def pages(blob: bytes) -> Iterator[Page]:
             tags, following = _directory(blob, at, order, kind == 43)
             yield _page(blob, tags, len(seen) - 1, order)
             at = following
-    except (KeyError, IndexError, struct.error, zlib.error, OverflowError, MemoryError) as e:
-        raise TiffError(str(e)) from e
+    except TiffError:
+        raise
+    except (KeyError, IndexError, ValueError, struct.error, zlib.error, OverflowError) as e:
+        raise TiffError(str(e) or type(e).__name__) from e
 
 
-def encode(payload: bytes, width: int = 64, page_rows: int = 4096, strip_rows: int = 512, compression: int = DEFLATE, predictor: int = 1) -> bytes:
-    """A file of 8-bit grey pages that holds ``payload``, whose length is a multiple of ``width``, row by row."""
+def encode(payload: bytes, width: int = 64, page_rows: int = 4096, strip_rows: int = 512, compression: int = DEFLATE, predictor: int = 1, tile: tuple[int, int] | None = None) -> bytes:
+    """A file of 8-bit grey pages that holds ``payload``, whose length is a multiple of ``width``, row by row; in strips, or in
+    tiles of ``tile`` (width, height: multiples of 16)."""
     if len(payload) % width:
         raise ValueError("the payload does not fill its rows")
     pack = {NONE: bytes, DEFLATE: zlib.compress, PACKBITS: pack_bits, LZW: lzw_encode}[compression]
@@ -271,9 +308,15 @@ def encode(payload: bytes, width: int = 64, page_rows: int = 4096, strip_rows: i
     link = 4
     for top in range(0, max(len(payload), 1), width * page_rows):
         sheet = np.frombuffer(payload[top : top + width * page_rows], np.uint8).reshape(-1, width)
+        if tile:
+            grid = np.zeros((-(-len(sheet) // tile[1]) * tile[1], -(-width // tile[0]) * tile[0]), np.uint8)
+            grid[: len(sheet), :width] = sheet
+            parts = [grid[y : y + tile[1], x : x + tile[0]] for y in range(0, len(grid), tile[1]) for x in range(0, grid.shape[1], tile[0])]
+        else:
+            parts = [sheet[i : i + strip_rows] for i in range(0, len(sheet), strip_rows)]
         if predictor == 2:
-            sheet = np.concatenate([sheet[:, :1], sheet[:, 1:] - sheet[:, :-1]], axis=1)
-        strips = [pack(sheet[i : i + strip_rows].tobytes()) for i in range(0, len(sheet), strip_rows)]
+            parts = [np.concatenate([p[:, :1], p[:, 1:] - p[:, :-1]], axis=1) for p in parts]
+        strips = [pack(p.tobytes()) for p in parts]
         spots = []
         for s in strips:
             spots.append(len(out))
@@ -285,7 +328,9 @@ def encode(payload: bytes, width: int = 64, page_rows: int = 4096, strip_rows: i
         if n > 1:
             out += struct.pack(f"<{2 * n}I", *spots, *map(len, strips))
         struct.pack_into("<I", out, link, len(out))
-        tags = [(WIDTH, 4, 1, width), (HEIGHT, 4, 1, len(sheet)), (BITS, 3, 1, 8), (COMPRESSION, 3, 1, compression), (PHOTOMETRIC, 3, 1, 1), (STRIP_AT, 4, n, lists if n > 1 else (spots or [0])[0]), (SAMPLES, 3, 1, 1), (ROWS_PER_STRIP, 4, 1, strip_rows), (STRIP_BYTES, 4, n, lists + 4 * n if n > 1 else len((strips or [b""])[0])), (PREDICTOR, 3, 1, predictor)]
+        at, sizes = lists if n > 1 else (spots or [0])[0], lists + 4 * n if n > 1 else len((strips or [b""])[0])
+        chunks = [(TILE_WIDTH, 4, 1, tile[0]), (TILE_HEIGHT, 4, 1, tile[1]), (TILE_AT, 4, n, at), (TILE_BYTES, 4, n, sizes)] if tile else [(STRIP_AT, 4, n, at), (ROWS_PER_STRIP, 4, 1, strip_rows), (STRIP_BYTES, 4, n, sizes)]
+        tags = sorted([(WIDTH, 4, 1, width), (HEIGHT, 4, 1, len(sheet)), (BITS, 3, 1, 8), (COMPRESSION, 3, 1, compression), (PHOTOMETRIC, 3, 1, 1), (SAMPLES, 3, 1, 1), (PREDICTOR, 3, 1, predictor), *chunks])
         out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags)
         link = len(out)
         out += bytes(4)
@@ -298,6 +343,14 @@ def text_payload(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
 
 
+def varied(payload: bytes) -> dict:
+    """A layout chosen by the payload's checksum alone: of 16 files 11 are deflated, two each packed and LZW, one bare; half have
+    differences, half tiles."""
+    k = zlib.crc32(payload)
+    compression = [DEFLATE] * 11 + [PACKBITS] * 2 + [LZW] * 2 + [NONE]
+    return {"compression": compression[k % 16], "predictor": 1 + (k >> 4) % 2, "tile": (32, 64) if (k >> 5) % 2 else None, "page_rows": 1024, "strip_rows": 256}
+
+
 def feature(found: list[Page]) -> str:
     """Pages, size, sum of samples and a histogram of their high halves."""
     a = np.frombuffer(b"".join(p.pixels for p in found), np.uint8)
@@ -320,7 +373,9 @@ def _batches(rows, types, names, weigh, most: int = 1 << 23):
 
 
 def write_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """doc_id, n_bytes, media: each whole text as a file. Null and empty texts give one row of zeros."""
+    """doc_id, n_bytes, media: each whole text as a file, laid out as ``how`` says for ``encode`` or else as ``varied`` does. Null
+    and empty texts give one row of zeros; equal texts equal files."""
+    shared.bounded_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -329,7 +384,7 @@ def write_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for b in batches:
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                     n, payload = text_payload(text.as_py())
-                    yield doc, n, encode(payload, **how)
+                    yield doc, n, encode(payload, **(how or varied(payload)))
 
         yield from _batches(rows(), (pa.int64(), pa.int64(), pa.binary()), ["doc_id", "n_bytes", "media"], lambda r: len(r[2]))
 
@@ -367,7 +422,10 @@ def read_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
 
 
 def read_files(media: DataFrame) -> DataFrame:
-    """A row for each stored file with digests of what its pages hold; columns doc_id, n_bytes, media as ``write_texts`` gives."""
+    """A row for each stored file with digests of what its pages hold; columns doc_id, n_bytes, media as ``write_texts`` gives.
+
+    ``error`` says what is wrong with a damaged or missing (null) file; its digests are null then."""
+    shared.bounded_batches(media.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -376,14 +434,18 @@ def read_files(media: DataFrame) -> DataFrame:
             for b in batches:
                 for doc, n, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                     blob = blob.as_py()
-                    found = list(pages(blob))
+                    try:
+                        found = list(pages(blob if blob is not None else b""))
+                    except TiffError as e:
+                        yield doc, n, None, None, None, None, None, None, str(e) if blob is not None else "no file"
+                        continue
                     payload = b"".join(p.pixels for p in found)
-                    yield doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(blob), hashlib.sha256(blob).hexdigest(), feature(found)
+                    yield doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(blob), hashlib.sha256(blob).hexdigest(), feature(found), None
 
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
         yield from _batches(rows(), types, DIGEST, lambda r: 300)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
-DIGEST = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+DIGEST = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]

@@ -27,9 +27,10 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def test_tiff_round_trip(compression, predictor, n, strip, seed, kinds):
     r = random.Random(seed)
     payload = bytes(r.randrange(kinds) for _ in range(64 * n))
-    blob = tiff.encode(payload, page_rows=50, strip_rows=strip, compression=compression, predictor=predictor)
-    found = list(tiff.pages(blob))
-    assert b"".join(p.pixels for p in found) == payload and [p.index for p in found] == list(range(len(found)))
+    for how in ({"strip_rows": strip}, {"tile": (16 * strip, 16)}, {"tile": (32, 64)}):
+        found = list(tiff.pages(tiff.encode(payload, page_rows=50, compression=compression, predictor=predictor, **how)))
+        assert b"".join(p.pixels for p in found) == payload and [p.index for p in found] == list(range(len(found)))
+        assert found[0].tiled == ("tile" in how) if found else True
 
 
 def hand_made(order, big, tags, chunks, at_tag, size_tag):
@@ -98,6 +99,34 @@ def test_lzw_known_stream():
     assert tiff.unpack_bits(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
 
 
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+def test_tiff_changed_bytes(compression):
+    """Whatever bytes change, pages or a TiffError come out, in bounded memory; a shorter chunk is an error."""
+    r = random.Random(compression)
+    good = tiff.encode(bytes(r.randrange(6) for _ in range(64 * 40)), page_rows=17, strip_rows=5, compression=compression, predictor=2, tile=(32, 16) if compression == tiff.LZW else None)
+    tracemalloc.start()
+    for _ in range(1500):
+        bad = bytearray(good)
+        for _ in range(r.choice([1, 1, 2, 5])):
+            bad[r.randrange(len(bad))] = r.choice([0, 1, 255, r.randrange(256)])
+        try:
+            list(tiff.pages(bytes(bad)))
+        except tiff.TiffError:
+            pass
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    first = struct.unpack_from("<I", good, 4)[0]
+    for k in range(struct.unpack_from("<H", good, first)[0]):
+        at = first + 2 + 12 * k
+        tag, _, n, value = struct.unpack_from("<HHII", good, at)
+        if tag in (tiff.STRIP_BYTES, tiff.TILE_BYTES):
+            spot = value if n > 1 else at + 8
+            short = bytearray(good)
+            struct.pack_into("<I", short, spot, struct.unpack_from("<I", good, spot)[0] // 2)
+            with pytest.raises(tiff.TiffError):
+                list(tiff.pages(bytes(short)))
+
+
 def test_tiff_table(spark, edges, nothing):
     media = tiff.write_texts(edges, page_rows=3)
     got = tiff.read_files(media).collect()
@@ -110,6 +139,12 @@ def test_tiff_table(spark, edges, nothing):
     pages = tiff.read_pages(media).where("doc_id = 13").collect()
     assert len(pages) == 16 and b"".join(r.pixels for r in sorted(pages, key=lambda r: r.page)).rstrip(b"\0") == b"x" * 3000
     assert tiff.read_files(tiff.write_texts(nothing)).count() == 0
+    again = {r.doc_id: r for r in tiff.read_files(tiff.write_texts(edges)).collect()}
+    assert all(again[r.doc_id].payload_sha256 == r.payload_sha256 and again[r.doc_id].error is None for r in got if r.doc_id is not None)
+    broken = spark.createDataFrame([(1, 5, bytearray(b"hello")), (2, 5, None)], "doc_id long, n_bytes long, media binary")
+    assert [(r.doc_id, r.payload_bytes, r.error) for r in tiff.read_files(broken).orderBy("doc_id").collect()] == [(1, None, "b'he'"), (2, None, "no file")]
+    layouts = {(p.compression, p.predictor, p.tiled) for x in (bytes([k]) * 64 for k in range(200)) for p in tiff.pages(tiff.encode(x, **tiff.varied(x)))}
+    assert len(layouts) >= 12
 
 
 def test_tiff_damage(spark):

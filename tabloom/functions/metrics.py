@@ -34,9 +34,15 @@ def focal(y: Column, margin: Column, alpha: float = 0.25, gamma: float = 1.0) ->
     return F.avg(-at * F.pow(1 - pt, F.lit(gamma)) * F.log(pt))
 
 
+def _judged(df: DataFrame, y: str, p: str) -> DataFrame:
+    """Rows with a target and a prediction; null and NaN are missing in both."""
+    here = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return df.where(here(y) & here(p))
+
+
 def _by_score(df: DataFrame, y: str, p: str) -> DataFrame:
     """Rows and positives at each distinct score; both ranking metrics need no more. Scores meet in partial sums first."""
-    return df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("pos"))
+    return _judged(df, y, p).groupBy(F.col(p).cast("double").alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("pos"))
 
 
 def _running(scores: DataFrame, descending: bool, buckets: int = 512) -> DataFrame:
@@ -77,9 +83,9 @@ GREATER_IS_BETTER = frozenset(RANKINGS)
 
 
 def evaluate(df: DataFrame, metric: str, y: str = "y", p: str = "pred") -> DataFrame:
-    """One row ``score``. An unknown metric is a ValueError before anything runs."""
+    """One row ``score``, over the rows that have a target and a prediction (NaN is none). An unknown metric is a ValueError before anything runs."""
     if metric in AGGREGATES:
-        return df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).agg(AGGREGATES[metric](F.col(y), F.col(p)).alias("score"))
+        return _judged(df, y, p).agg(AGGREGATES[metric](F.col(y), F.col(p)).alias("score"))
     if metric in RANKINGS:
         return RANKINGS[metric](df, y, p)
     raise ValueError(f"unknown metric {metric!r}; known: {sorted([*AGGREGATES, *RANKINGS])}")

@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _hash(row_id: Column, seed: int) -> Column:
+    """60 bits of the md5 of seed and id, the same in any engine."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(row_id.cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def kfold(row_id: Column, k: int = 5, seed: int = 111) -> Column:
     """Fold by a hash of the row id: no shuffle, nearly equal sizes."""
-    return F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(k)).cast("int")
+    return F.pmod(_hash(row_id, seed), F.lit(k)).cast("int")
 
 
 def stratified_kfold(df: DataFrame, by: str, row_id: str, k: int = 5, seed: int = 7, out: str = "fold", buckets: int = 64) -> DataFrame:
@@ -16,8 +22,8 @@ def stratified_kfold(df: DataFrame, by: str, row_id: str, k: int = 5, seed: int
 
     Rows are numbered in hash order within (value, leading part of the hash) and moved up by the parts before, so one value
     with most rows is not sorted in one task."""
-    h = F.xxhash64(F.col(row_id), F.lit(seed))
-    rows = df.withColumn("__h", h).withColumn("__part", F.shiftrightunsigned("__h", 58).cast("int") if buckets == 64 else F.pmod("__h", F.lit(buckets)).cast("int"))
+    h = _hash(F.col(row_id), seed)
+    rows = df.withColumn("__h", h).withColumn("__part", F.floor(F.shiftright("__h", 30) * buckets / (1 << 30)).cast("int"))
     counts = rows.groupBy(F.col(by).alias("__y"), F.col("__part").alias("__q")).agg(F.count("*").alias("__n"))
     before = Window.partitionBy("__y").orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("__y", "__q", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"))

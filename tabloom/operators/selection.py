@@ -63,13 +63,15 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str],
 
 
 def high_correlation_columns(df: DataFrame, columns: Sequence[str], limit: float) -> list[str]:
-    """Greedy in column order: b is dropped if it correlates above ``limit`` with a column not dropped before it."""
+    """One pass in column order: a column that is still there takes all that correlate with it above ``limit`` with it, earlier
+    survivors included; a missing correlation is none."""
     numbers = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
-    r, dropped = correlations(df, numbers), []
-    for a in numbers:
-        for b in numbers:
-            if a != b and a not in dropped and b not in dropped and (r[a, b] or 0) > limit:
-                dropped.append(b)
+    above = {pair for pair, r in correlations(df, numbers).items() if r is not None and r > limit}
+    left, dropped = list(numbers), []
+    for keeper in numbers:
+        if keeper in left:
+            dropped += [c for c in left if (keeper, c) in above]
+            left = [c for c in left if (keeper, c) not in above]
     return dropped
 
 

@@ -6,6 +6,7 @@ is distributed. Where the usual library is absent the nearest MLlib estimator st
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from typing import Any, ClassVar
 
@@ -25,6 +26,8 @@ from ..functions.expr import known
 from ..sources import io
 
 Y, PRED, VALID = "y", "pred", "_valid"
+# Parameters about messages, files and machines, which change no result, and names of the usual metric and method.
+NO_EFFECT = frozenset({"verbosity", "verbose", "silent", "allow_writing_files", "task_type", "n_jobs", "nthread", "num_threads", "thread_count", "metric", "eval_metric", "boosting", "boosting_type", "booster"})
 
 
 class Model:
@@ -108,6 +111,13 @@ class Model:
         values = last.featureImportances if hasattr(last, "featureImportances") else getattr(last, "coefficients", None)
         return None if values is None else dict(zip(self.features, map(float, values.toArray()), strict=True))
 
+    #: Parameters that the model follows, beside those that change no result.
+    honoured: ClassVar[frozenset[str]] = frozenset()
+
+    def not_honoured(self) -> list[str]:
+        """Parameters given that this model does not follow."""
+        return sorted(set(self.params) - self.honoured - NO_EFFECT)
+
     def _get(self, *names: str, default: Any) -> Any:
         return next((self.params[n] for n in names if n in self.params), default)
 
@@ -116,9 +126,21 @@ def _positive(_: DataFrame) -> Column:
     return vector_to_array(F.col("probability"))[1]
 
 
+def _depth(depth: int | None, leaves: int = 31) -> int:
+    return min(int(depth), 30) if depth is not None and int(depth) > 0 else max(1, min(int(leaves) - 1, 30))
+
+
+def _share(fraction: float) -> str:
+    return "all" if float(fraction) >= 1 else str(float(fraction))
+
+
 class _Boosted(Model):
-    """Gradient-boosted trees with early stopping on the validation rows."""
+    """Gradient-boosted trees. With validation rows training ends at the round that no longer improves on them, without the
+    patience of ``early_stopping_rounds``; as many rounds as configured are trained otherwise. A depth of zero or less is
+    unlimited elsewhere; here it is what ``num_leaves`` can need, 30 at most, which is the deepest tree there is.
+    ``feature_fraction`` is drawn for each node. ``build`` warns of parameters that are not followed."""
 
+    honoured = frozenset({"objective", "loss_function", "num_boost_round", "iterations", "n_estimators", "num_round", "max_depth", "depth", "learning_rate", "eta", "bagging_fraction", "subsample", "seed", "random_seed", "random_state", "feature_fraction", "colsample_bytree", "min_data_in_leaf", "min_child_samples"})
     uses_validation = True
     classify: bool | None = None  # None: by the objective in the parameters
 
@@ -132,8 +154,10 @@ class _Boosted(Model):
         est = kind(
             featuresCol="features",
             labelCol=Y,
-            maxIter=min(int(self._get("num_boost_round", "iterations", "n_estimators", "num_round", default=20)), int(self._get("most_rounds", default=200))),
-            maxDepth=min(int(self._get("max_depth", "depth", default=5)) if self._get("max_depth", "depth", default=5) > 0 else 5, 30),
+            maxIter=int(self._get("num_boost_round", "iterations", "n_estimators", "num_round", default=20)),
+            maxDepth=_depth(self._get("max_depth", "depth", default=5), self._get("num_leaves", default=31)),
+            minInstancesPerNode=int(self._get("min_data_in_leaf", "min_child_samples", default=1)),
+            featureSubsetStrategy=_share(self._get("feature_fraction", "colsample_bytree", default=1.0)),
             stepSize=float(self._get("learning_rate", "eta", default=0.1)),
             subsamplingRate=float(self._get("bagging_fraction", "subsample", default=1.0)),
             seed=int(self._get("seed", "random_seed", "random_state", default=777)),
@@ -196,8 +220,12 @@ class ModelFocalLGBM(Model):
     """Boosting of regression trees on the gradient of the focal loss; predictions are raw margins.
 
     Each round fits a tree to gradient over hessian of the rows, weighted by the hessian, both in closed form. Margins
-    are rewritten to a checkpoint every few rounds, so plans stay short."""
+    are rewritten to a checkpoint every few rounds, so plans stay short. A callable ``objective`` takes the place of the
+    loss: from target and margin columns it gives (loss, first, second derivative by the margin). A callable ``feval`` gives
+    an aggregate of both columns, the smaller the better; without one it is the mean loss. With validation rows and
+    ``early_stopping_rounds`` training ends after so many rounds without a better value, and the best round's trees stay."""
 
+    honoured = frozenset({"objective", "feval", "early_stopping_rounds", "num_boost_round", "learning_rate", "max_depth", "num_leaves", "seed", "random_state"})
     alpha: ClassVar[float] = 0.25
     gamma: ClassVar[float] = 1.0
 
@@ -220,17 +248,34 @@ class ModelFocalLGBM(Model):
         inputs, stages, names = self._inputs(tr.withColumn(Y, F.col(Y).cast("double")))
         prep = Pipeline(stages=[*stages, VectorAssembler(inputCols=names, outputCol="features")]).fit(inputs)
         rows = prep.transform(inputs).select(ROW_ID, Y, "features").persist()
+        loss = self._get("objective", default=None)
+        loss = loss if callable(loss) else self.loss_gradient
+        judge = self._get("feval", default=None) or (lambda y, m: F.avg(loss(y, m)[0]))
+        patience = int(self._get("early_stopping_rounds", default=0)) if va is not None else 0
+        held = prep.transform(self._inputs(va.withColumn(Y, F.col(Y).cast("double")))[0]).select(ROW_ID, Y, "features").withColumn("m", F.lit(0.0)) if patience else None
+        best, best_at = None, 0
         self.prep, self.trees, self.rate = prep, [], float(self._get("learning_rate", default=0.1))
         margin = F.lit(0.0)
         work = rows.withColumn("m", margin)
         for k in range(int(self._get("num_boost_round", default=10))):
-            _, g, h = self.loss_gradient(F.col(Y), F.col("m"))
+            _, g, h = loss(F.col(Y), F.col("m"))
             step = work.withColumn("t", -g / h).withColumn("w", h)
-            tree = DecisionTreeRegressor(featuresCol="features", labelCol="t", weightCol="w", maxDepth=int(self._get("max_depth", default=4)) if self._get("max_depth", default=4) > 0 else 4, maxBins=self._max_bins, seed=int(self._get("seed", default=777)) + k, predictionCol="step").fit(step)
+            tree = DecisionTreeRegressor(featuresCol="features", labelCol="t", weightCol="w", maxDepth=_depth(self._get("max_depth", default=4), self._get("num_leaves", default=31)), maxBins=self._max_bins, seed=int(self._get("seed", "random_state", default=777)) + k, predictionCol="step").fit(step)
             self.trees.append(tree)
             work = tree.transform(work).withColumn("m", F.col("m") + self.rate * F.col("step")).select(ROW_ID, Y, "features", "m")
             if k % 5 == 4 and self._spark().sparkContext.getCheckpointDir():
                 work = work.checkpoint()
+            if patience:
+                held = tree.transform(held).withColumn("m", F.col("m") + self.rate * F.col("step")).select(ROW_ID, Y, "features", "m")
+                if k % 5 == 4 and self._spark().sparkContext.getCheckpointDir():
+                    held = held.checkpoint()
+                value = held.agg(judge(F.col(Y), F.col("m"))).first()[0]
+                if best is None or value < best:
+                    best, best_at = value, len(self.trees)
+                elif len(self.trees) - best_at >= patience:
+                    break
+        if patience:
+            self.trees = self.trees[:best_at]
         rows.unpersist()
         return self
 
@@ -259,9 +304,13 @@ class ModelFocalLGBM(Model):
 
 
 class _Forest(Model):
+    """Random forests. ``max_depth`` None or below 1 means the deepest tree there is, of 30 levels."""
+
+    honoured = frozenset({"n_estimators", "max_depth", "random_state", "seed"})
+
     def _common(self) -> dict:
         depth = self._get("max_depth", default=5)
-        return {"featuresCol": "features", "labelCol": Y, "numTrees": int(self._get("n_estimators", default=20)), "maxDepth": min(int(depth), 30) if depth else 10, "seed": int(self._get("random_state", "seed", default=777)), "maxBins": self._max_bins}
+        return {"featuresCol": "features", "labelCol": Y, "numTrees": int(self._get("n_estimators", default=20)), "maxDepth": _depth(depth, 31), "seed": int(self._get("random_state", "seed", default=777)), "maxBins": self._max_bins}
 
 
 class ModelRFClassifier(_Forest):
@@ -278,7 +327,9 @@ class ModelRFRegressor(_Forest):
 
 
 class ModelRIDGE(Model):
-    """Least squares with the penalty alpha * |w|^2; importance is the raw coefficients."""
+    """Least squares with the penalty alpha * |w|^2, solved in closed form (no random state); importance is the raw coefficients."""
+
+    honoured = frozenset({"alpha", "random_state"})
 
     missing = 0.0
 
@@ -292,7 +343,9 @@ class ModelRIDGE(Model):
 
 
 class ModelSVM(Model):
-    """Linear support vectors; predictions are class labels. The kernel form does not exist here."""
+    """Linear support vectors, fitted without randomness; predictions are class labels. The kernel form does not exist here."""
+
+    honoured = frozenset({"C", "max_iter", "random_state"})
 
     missing = 0.0
 
@@ -306,6 +359,8 @@ class ModelKNN(Model):
     Queries are taken in blocks of bounded size; the training rows pass by each block once, every batch sends its own k
     nearest, and these meet in a top-k for each query. No pair of rows is ever a row of a table."""
 
+    honoured = frozenset({"n_neighbors"})
+
     missing = 0.0
 
     def train(self, tr: DataFrame, va: DataFrame | None = None) -> Model:
@@ -382,6 +437,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 2000, skip
 class ModelNN(Model):
     """A multilayer perceptron for classes; regression and embeddings have no counterpart here and are refused."""
 
+    honoured = frozenset({"objective", "hidden", "epochs", "nb_epoch", "seed"})
+
     missing = 0.0
 
     def train(self, tr: DataFrame, va: DataFrame | None = None) -> Model:
@@ -393,7 +450,7 @@ class ModelNN(Model):
 
     def estimator(self):
         layers = [self._width, *self._get("hidden", default=[16]), max(self._classes, 2)]
-        return MultilayerPerceptronClassifier(featuresCol="features", labelCol=Y, layers=layers, maxIter=int(self._get("epochs", default=50)), seed=int(self._get("seed", default=777)))
+        return MultilayerPerceptronClassifier(featuresCol="features", labelCol=Y, layers=layers, maxIter=int(self._get("epochs", "nb_epoch", default=50)), seed=int(self._get("seed", default=777)))
 
     def prediction(self, df: DataFrame) -> Column:
         return _positive(df)
@@ -408,7 +465,10 @@ MODELS: dict[str, type[Model]] = {c.__name__: c for c in (ModelLGBM, ModelOptuna
 def build(model_name: str, run_fold_name: str, params: dict | None = None, categorical: Sequence[str] = ()) -> Model:
     if model_name not in MODELS:
         raise ValueError(f"unknown model {model_name!r}; known: {sorted(MODELS)}")
-    return MODELS[model_name](run_fold_name, params, categorical)
+    made = MODELS[model_name](run_fold_name, params, categorical)
+    if odd := made.not_honoured():
+        warnings.warn(f"{model_name} does not follow {', '.join(odd)}", stacklevel=2)
+    return made
 
 
 def embedding_sizes(df: DataFrame, columns: Sequence[str], most: int = 50) -> dict[str, tuple[int, int]]:

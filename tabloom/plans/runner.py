@@ -20,14 +20,25 @@ from . import models
 from .models import PRED, Y, Model
 
 Splitter = Callable[[DataFrame, str], DataFrame]
+# The keys that a configuration may have.
+ABOUT = {"description", "exp_name", "fe_name", "data"}
+KEYS = ABOUT | {"run_name", "cols_definition", "model_name", "params", "model_params", "evaluation_metric", "advanced", "n_splits", "seed"}
+COLUMN_KEYS = {"id_col", "target_col", "categorical_col", "cv_y"}
+MODES = {"ResRunner": {"oof", "res_threshold"}, "PseudoRunner": {"y_test_pred", "run", "pl_threshold", "pl_threshold_neg", "pl_threshold_pos"}, "adversarial_validation": None, "predict_exp": None}
+
+
+def _only(given, known, where: str) -> None:
+    if odd := sorted(set(given) - set(known)):
+        raise ValueError(f"unknown keys in {where}: {odd}; known: {sorted(known)}")
 
 
 @dataclass(frozen=True)
 class RunConfig:
-    """What a run does; built from a dict whose keys are those of the configuration files.
+    """What a run does; built from a dict whose keys are those of the configuration files. Other keys are an error.
 
-    ``advanced`` may hold ResRunner {oof, res_threshold}, PseudoRunner {run, pl_threshold or pl_threshold_neg and
-    pl_threshold_pos}, adversarial_validation (true), and predict_exp (true)."""
+    ``advanced`` may hold ResRunner {oof, res_threshold}, PseudoRunner {y_test_pred (or run), pl_threshold or
+    pl_threshold_neg and pl_threshold_pos}, adversarial_validation and predict_exp. The last two are on if they are
+    there, with or without a value, unless the value is false."""
 
     run_name: str
     model_name: str
@@ -40,14 +51,27 @@ class RunConfig:
     folds: int = 5
     seed: int = 7
     advanced: dict[str, Any] = field(default_factory=dict)
+    about: dict[str, Any] = field(default_factory=dict)  # what names the run and its inputs but changes nothing here
 
     @classmethod
     def of(cls, c: dict[str, Any]) -> RunConfig:
-        cols = c.get("cols_definition", {})
-        out = cls(c["run_name"], c["model_name"], c["evaluation_metric"], cols.get("target_col", Y), cols.get("id_col", ROW_ID), tuple(cols.get("categorical_col") or ()), cols.get("cv_y"), dict(c.get("model_params") or {}), int(c.get("n_splits", 5)), int(c.get("seed", 7)), dict(c.get("advanced") or {}))
+        cols = c.get("cols_definition") or {}
+        advanced = dict(c.get("advanced") or {})
+        _only(c, KEYS, "the configuration")
+        _only(cols, COLUMN_KEYS, "cols_definition")
+        _only(advanced, MODES, "advanced")
+        for mode, keys in MODES.items():
+            if keys:
+                _only(advanced.get(mode) or {}, keys, mode)
+        if c.get("params") and c.get("model_params"):
+            raise ValueError("params and model_params are the same; give one")
+        out = cls(c["run_name"], c["model_name"], c["evaluation_metric"], cols.get("target_col", Y), cols.get("id_col", ROW_ID), tuple(cols.get("categorical_col") or ()), cols.get("cv_y"), dict(c.get("params") or c.get("model_params") or {}), int(c.get("n_splits", 5)), int(c.get("seed", 7)), advanced, {k: c[k] for k in ABOUT if k in c})
         out.check()
         return out
 
+    def on(self, mode: str) -> bool:
+        return mode in self.advanced and self.advanced[mode] is not False
+
     def check(self) -> None:
         if self.model_name not in models.MODELS:
             raise ValueError(f"unknown model {self.model_name!r}; known: {sorted(models.MODELS)}")
@@ -96,10 +120,11 @@ class Runner:
     """Trains a model for each fold, stitches out-of-fold predictions, predicts the test rows and writes a submission.
 
     ``features``: a FeatureStore, or frames (x_train, y_train, x_test) with ``_row_id``. All results are tables in ``folder``:
-    oof, pred, importance, model/<fold>, submission, runs."""
+    oof, pred, importance, model/<fold>, submission, runs. ``predictions`` maps names of earlier predictions, as the
+    configuration has them, to their tables or paths; a name that is not there is a path to Parquet."""
 
-    def __init__(self, spark: SparkSession, config: RunConfig | dict, features: FeatureStore | tuple[DataFrame, DataFrame, DataFrame], folder: str, splitter: Splitter | None = None):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, config: RunConfig | dict, features: FeatureStore | tuple[DataFrame, DataFrame, DataFrame], folder: str, splitter: Splitter | None = None, predictions: dict[str, DataFrame | str] | None = None):
+        self.spark, self.folder, self.predictions = spark, folder.rstrip("/"), predictions or {}
         self.config = config if isinstance(config, RunConfig) else RunConfig.of(config)
         self.config.check()
         if isinstance(features, FeatureStore):
@@ -110,7 +135,7 @@ class Runner:
         else:
             x, y, self.test = features
             self.train = x.join(y.select(ROW_ID, Y), ROW_ID)
-        if self.config.advanced.get("adversarial_validation"):
+        if self.config.on("adversarial_validation"):
             self.train = adversarial(self.train, self.test)
         self.splitter = splitter or self._stratified
         self._folded: DataFrame | None = None
@@ -138,11 +163,12 @@ class Runner:
             rows = residual_filter(rows, self._table(r["oof"]), float(r["res_threshold"]))
         if p := a.get("PseudoRunner"):
             low = p.get("pl_threshold", p.get("pl_threshold_neg"))
-            extra = pseudo_labels(self.test, self._table(p["run"]), low, p.get("pl_threshold_pos"))
+            extra = pseudo_labels(self.test, self._table(p["y_test_pred"] if "y_test_pred" in p else p["run"]), low, p.get("pl_threshold_pos"))
             rows = rows.unionByName(extra.withColumn(Y, F.col(Y).cast(rows.schema[Y].dataType)).select(*rows.columns))
         return rows
 
     def _table(self, t: DataFrame | str) -> DataFrame:
+        t = self.predictions.get(t, t) if isinstance(t, str) else t
         return self.spark.read.parquet(t) if isinstance(t, str) else t
 
     def train_fold(self, rows: DataFrame, fold: int) -> tuple[Model, DataFrame, float]:
@@ -184,7 +210,7 @@ class Runner:
 
     def submission(self, sample: DataFrame, row_id: str, target: str) -> DataFrame:
         """The sample's rows with predictions in the target column (their exponential if predict_exp is set), as one CSV."""
-        pred: Column = F.exp(PRED) if self.config.advanced.get("predict_exp") else F.col(PRED)
+        pred: Column = F.exp(PRED) if self.config.on("predict_exp") else F.col(PRED)
         made = self.spark.read.parquet(f"{self.folder}/pred").select(F.col(ROW_ID).alias("_id"), pred.alias("_pred"))
         joined = sample.join(made, F.col(row_id) == F.col("_id"), "left")
         out = joined.select(*[F.col("_pred").alias(c) if c == target else F.col(f"`{c}`") for c in sample.columns])

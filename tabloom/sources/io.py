@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 import logging
+import math
 import time
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Sequence
 from pathlib import Path
 from typing import Any
 
@@ -38,11 +38,16 @@ def rename(spark: SparkSession, old: str, new: str) -> bool:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a run's files: in the shared folder the cluster names, or a temporary one where none is named."""
+    """A new folder for a run's files: in the shared folder the cluster names. Where none is named a temporary one, which is an
+    error on a cluster, as each machine would have its own."""
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -119,7 +124,16 @@ def read_yaml(path: str) -> dict:
 
 
 def ltsv(values: dict[str, Any]) -> str:
-    return "\t".join(f"{k}:{v}" for k, v in values.items())
+    """One line of labelled values; tabs and line ends inside a value become spaces, so a line stays one record."""
+    clean = str.maketrans("\t\r\n", "   ")
+    return "\t".join(":".join((str(label).translate(clean), str(value).translate(clean))) for label, value in values.items())
+
+
+def score_record(scores: Sequence[float]) -> dict[str, float]:
+    """The scores of a run as fields: ``score``, their mean (missing if there are none), and ``score0``, ``score1``, ..."""
+    record = {"score": math.fsum(scores) / len(scores)} if scores else {}
+    record.update((f"score{fold}", value) for fold, value in enumerate(scores))
+    return record
 
 
 class RunLog:
@@ -150,8 +164,7 @@ class RunLog:
         self.result(ltsv(values))
 
     def result_scores(self, run: str, scores: list[float]) -> None:
-        """The mean score of a run and then each."""
-        self.result_ltsv({"name": run, "score": sum(scores) / len(scores)} | {f"score{i}": s for i, s in enumerate(scores)})
+        self.result_ltsv({"name": run, **score_record(scores)})
 
 
 RUN_SCHEMA = "run string, kind string, key string, value string, at double"
@@ -164,8 +177,30 @@ def track(spark: SparkSession, path: str, run: str, kind: str, values: dict[str,
         spark.createDataFrame(rows, RUN_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
-@contextmanager
-def timer(name: str, say: Callable[[str], None] = print) -> Iterator[None]:
-    began = time.time()
-    yield
-    say(f"[{name}] done in {time.time() - began:.1f} s")
+class timer:
+    """``with timer("fit", log.result_ltsv) as t: ...`` gives the fields step, seconds and failed to ``sink`` when the block
+    ends, by an error too, and keeps ``t.seconds``. Without a sink a line goes to the standard logger."""
+
+    def __init__(self, step: str, sink: Callable[[dict[str, Any]], None] | None = None):
+        self.step, self.sink, self.seconds = step, sink or (lambda fields: logging.getLogger("tabloom").info(ltsv(fields))), math.nan
+
+    def __enter__(self) -> timer:
+        self._start = time.perf_counter()
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        self.seconds = time.perf_counter() - self._start
+        self.sink({"step": self.step, "seconds": round(self.seconds, 3), "failed": kind is not None})
+
+
+def seed_everything(spark: SparkSession, seed: int) -> None:
+    """Seed the generators of the driver, and those of Python workers started from now on. Operators here take their randomness
+    from seeds of their own and hashes of ids, so they need none of this; it is for functions that callers bring along."""
+    import os
+    import random
+
+    import numpy as np
+
+    random.seed(seed)
+    np.random.seed(seed % (1 << 32))
+    os.environ["PYTHONHASHSEED"] = spark.sparkContext.environment["PYTHONHASHSEED"] = str(seed % (1 << 32))

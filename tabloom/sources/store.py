@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +17,47 @@ from ..operators.encoders import Step, chain, target_encoder
 from . import io
 
 
+def _files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Name, length and time of change of each file; a folder is listed once."""
+    wanted, found = set(paths), []
+    for folder in sorted({p.rpartition("/")[0] for p in paths}):
+        at, fs = io._fs(spark, folder)
+        for status in fs.listStatus(at):
+            found.append((str(status.getPath().toString()), status.getLen(), status.getModificationTime()))
+    plain = lambda p: re.sub(r"^file:/+", "/", p)
+    names = {plain(unquote(p)) for p in wanted} | {plain(p) for p in wanted}
+    return sorted(f"{n}:{size}:{at}" for n, size, at in found if plain(n) in names)
+
+
+def _local_rows(df: DataFrame) -> list[str]:
+    """A digest of the rows of every part of the plan that holds rows itself instead of reading files."""
+    spark, out = df.sparkSession, []
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.nodeName().split(" ")[0] in ("LocalRelation", "LogicalRDD", "Scan"):
+            rows = DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, leaf), spark)
+            h = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
+            out.append(str(rows.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(20,0)"))).first()))
+    return out
+
+
 def fingerprint(df: DataFrame) -> str:
-    """A hash of the plan and the files it reads: the same for the same computation on the same input files."""
-    plan = re.sub(r"#\d+L?|plan_id=\d+|@[0-9a-f]+", "", df._jdf.queryExecution().analyzed().toString())
-    return hashlib.sha256((plan + "|" + ",".join(sorted(df.inputFiles()))).encode()).hexdigest()
+    """A hash of the whole plan, of name, length and time of change of the files it reads, and of rows that it holds itself."""
+    spark, key = df.sparkSession, "spark.sql.debug.maxToStringFields"
+    held = spark.conf.get(key)
+    spark.conf.set(key, "1000000")  # else a printed plan leaves out columns beyond the first
+    try:
+        # what tells apart the same plan made twice goes: expression ids and object hashes
+        plan = re.sub(r"#\d+L?|plan_id=\d+|@[0-9a-f]+", "", df._jdf.queryExecution().analyzed().treeString())
+    finally:
+        spark.conf.set(key, held)
+    parts = [plan, *_files(spark, df.inputFiles()), *_local_rows(df)]
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()
 
 
 def memoised(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path``, written first if it is missing or was made by another plan or from other files.
+    """The table at ``path``, written first if it is missing or was made by another plan, from other files or other rows.
 
     A new table is written beside the old one and then takes its place, so a failed run leaves no half table."""
     df, mark = make(), f"{path}.plan"

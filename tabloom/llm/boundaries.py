@@ -143,7 +143,7 @@ def blocks(docs: DataFrame, vocab: str, end_id: int = 0, block_ids: int = 1 << 1
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, part, end = tokens.encoder(vocab), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        enc, part, end = tokens.encoder(vocab, 800_000), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         ids, docs_, held, seq = [], [], 0, 0
 
         def closed():

@@ -95,44 +95,33 @@ class Encoder:
                 return first
             pieces = text.split(" ")
         new, old = self._new, self._old
-        parts = list(map(new.get, pieces))
-        open_, wanted, at = [], {}, 0
-        try:
-            while True:
-                at = parts.index(None, at)
-                piece = pieces[at]
+        missing = set(pieces).difference(new)
+        if missing:
+            wanted, ended = set(), []
+            for piece in missing:
                 ids = old.get(piece)
-                if ids is None:
-                    base = piece.rstrip(_MARKS)
-                    if len(base) < len(piece) and base and base[-1] < "\u0100" and base[-1].isalnum():
-                        if base not in new and base not in wanted:
-                            ids = old.get(base)
-                            if ids is None:
-                                wanted[base] = None
-                            else:
-                                new[base] = ids
-                        open_.append((at, base, piece))
-                    else:
-                        wanted[piece] = None
-                        open_.append((at, piece, piece))
+                if ids is not None:
+                    new[piece] = ids
+                    continue
+                base = piece.rstrip(_MARKS)
+                if base and len(base) < len(piece) and base[-1] < "\u0100" and base[-1].isalnum():
+                    ended.append((piece, base))
+                    if base not in new:
+                        ids = old.get(base)
+                        if ids is None:
+                            wanted.add(base)
+                        else:
+                            new[base] = ids
                 else:
-                    new[piece] = parts[at] = ids
-                at += 1
-        except ValueError:
-            pass
-        if open_:
+                    wanted.add(piece)
             if wanted:
                 self._together(list(wanted))
-            for at, base, piece in open_:
-                ids = new[base]
-                if base is not piece:
-                    ids += self._marks(piece[len(base) :])
-                    if len(piece) <= 64:
-                        new[piece] = ids
-                parts[at] = ids
-        out = first + b"".join(parts)
-        for p in [p for p in wanted if len(p) > 64]:
-            del new[p]
+            for piece, base in ended:
+                new[piece] = new[base] + self._marks(piece[len(base) :])
+        out = first + b"".join(map(new.__getitem__, pieces))
+        if missing:
+            for piece in [p for p in {*wanted, *missing} if len(p) > 64]:
+                new.pop(piece, None)
         if len(new) >= self._most:
             self._old, self._new = new, {}
         return out

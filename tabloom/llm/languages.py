@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 BASES = (0, 1 << 8, (1 << 8) + (1 << 16))  # where the codes of each order begin
 
 
@@ -47,8 +49,9 @@ class Model:
         at = np.searchsorted(self.codes, flat)
         known = self.codes[np.minimum(at, len(self.codes) - 1)] == flat
         owner = np.repeat(np.arange(len(sets)), sizes)[known]
-        part = self.weights[at[known]]
-        out = np.stack([np.bincount(owner, part[:, k], minlength=len(sets)) for k in range(part.shape[1])], axis=1)
+        row = at[known]
+        # a column at a time: the working memory is that of the batch's n-grams, however many languages there are
+        out = np.stack([np.bincount(owner, self.weights[row, k], minlength=len(sets)) for k in range(self.weights.shape[1])], axis=1)
         return out / np.sqrt(np.maximum(sizes, 1))[:, None] + self.bias
 
 
@@ -62,12 +65,12 @@ def _incidence(sets: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
 
 
 def fit(sets: list[np.ndarray], langs: list[str], landmarks: int = 160, ridge: float = 1e-3, block: int = 256) -> Model | None:
-    """None if there is nothing to learn from. Landmarks are taken from each language in turn."""
+    """None if there is nothing to learn from. Landmarks are taken from each language in turn, at least one from each."""
     if not sets:
         return None
     names = sorted(set(langs))
     by = {x: [i for i, y in enumerate(langs) if y == x] for x in names}
-    picked = [by[x][k] for k in range(max(map(len, by.values()))) for x in names if k < len(by[x])][:landmarks]
+    picked = [by[x][k] for k in range(max(map(len, by.values()))) for x in names if k < len(by[x])][: max(landmarks, len(names))]
     codes = np.unique(np.concatenate([sets[i] for i in picked]))
     base = _incidence([sets[i] for i in picked], codes)
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
@@ -117,6 +120,7 @@ def identify(docs: DataFrame, per_language: int = 400, most_languages: int = 200
     ``und`` with score 0 where the text is null or has no letters, and everywhere if no labelled row exists; else ``score`` is
     the share of the best language in the softmax of four times the regression values. A null doc_id is not held out."""
     spark = docs.sparkSession
+    shared.bounded_batches(spark)
     sets, langs = training_sets(docs, per_language, most_languages, id_col, text_col, lang_col)
     held = spark.sparkContext.broadcast(fit(sets, langs, landmarks))
 

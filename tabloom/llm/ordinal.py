@@ -121,7 +121,8 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, most_rows: int =
 
     Their features are made on the executors; only feature numbers reach the driver."""
     ratings = ratings.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("rated"), F.col("grade").cast("int").alias("grade"))
-    picked = ratings.orderBy(F.xxhash64(F.lit("rated"), "rated"), "rated", "grade").limit(most_rows).dropDuplicates(["rated"])
+    ratings = ratings.groupBy("rated").agg(F.min("grade").alias("grade"))  # of several ratings of a document the lowest counts
+    picked = ratings.orderBy(F.xxhash64(F.lit("rated"), "rated"), "rated").limit(most_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("rated"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "rated")  # at most ``most_rows`` narrow rows
 
     shared.bounded_batches(docs.sparkSession)

@@ -389,6 +389,8 @@ def test_ordinal_held_out(spark):
     judged = ordinal.score(docs, model).join(ratings, "doc_id").where("doc_id % 2 = 1").join(docs.select("doc_id", insult), "doc_id")
     n = Counter({(r.grade, r.insult, r.keep): r["count"] for r in judged.groupBy("grade", "insult", "keep").count().collect()})
     assert sum(n.values()) > 1500
+    toxic = {keep: sum(n[0, insult, keep] for insult in (True, False)) for keep in (True, False)}
+    assert 0.1 < toxic[True] / sum(toxic.values()) < 0.35  # of all toxic rows, those without an insult included
     share = lambda *k: n[(*k, True)] / (n[(*k, True)] + n[(*k, False)])
     assert share(2, False) > 0.97 and share(0, True) < 0.1 and share(1, False) < 0.1
 
@@ -422,6 +424,31 @@ def test_kernel_matches_its_definition():
     # with every text a landmark the Nyström features are exact, so scoring must equal kernel ridge on the full kernel
     m = languages.fit(sets, langs, landmarks=6, ridge=1e-6)
     assert [m.languages[k] for k in m.scores(sets).argmax(axis=1)] == langs
+    # on texts it has not seen, too: weighted ridge in the span of the features, written with kernels alone
+    fresh = [languages.grams(t) for t in ("the field and the river", "der Fluss und das Feld", "le champ", "river")]
+    kernel = lambda xs, ys: np.array([[len(np.intersect1d(a, b)) / np.sqrt(len(a) * len(b)) for b in ys] for a in xs])
+    k, new = kernel(sets, sets), kernel(fresh, sets)
+    y = np.array([[1.0 if a == b else -1.0 for b in m.languages] for a in langs])
+    # both centred by the training texts; the languages have as many each, so means are plain
+    k0, new0 = (x - k.mean(0) - x.mean(1, keepdims=True) + k.mean() for x in (k, new))
+    lam = 1e-6 * np.trace(k0) / len(k)  # the mean eigenvalue of the features' covariance times n, over n features
+    want = new0 @ np.linalg.solve(k0 + lam * np.eye(len(k)), y - y.mean(0)) + y.mean(0)
+    assert np.allclose(m.scores(fresh), want, atol=1e-3)
+
+
+def test_many_languages_fit_in_memory():
+    """More languages than landmarks: each has one, and a batch takes memory by its n-grams, not times the languages."""
+    r = random.Random(5)
+    words = {k: ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for k in range(250)}
+    texts = [(k, " ".join(r.choice(words[k]) for _ in range(40))) for k in words for _ in range(4)]
+    sets = [languages.grams(t) for _, t in texts]
+    m = languages.fit(sets, [f"l{k:03}" for k, _ in texts], landmarks=160)
+    assert len(m.languages) == 250
+    tracemalloc.start()
+    got = m.scores(sets).argmax(axis=1)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    assert np.mean([m.languages[a] == f"l{k:03}" for a, (k, _) in zip(got.tolist(), texts, strict=True)]) > 0.9
 
 
 def test_language_held_out(spark):

@@ -45,13 +45,14 @@ def _by_score(df: DataFrame, y: str, p: str) -> DataFrame:
     return _judged(df, y, p).groupBy(F.col(p).cast("double").alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("pos"))
 
 
-def _running(scores: DataFrame, descending: bool, buckets: int = 512) -> DataFrame:
-    """``scores`` with rows and positives before each score, by sums within ranges and then over ranges."""
-    lo, hi = scores.agg(F.min("s"), F.max("s")).first()
-    if lo is None or lo == hi:
-        part = F.lit(0)
-    else:
-        part = F.least(F.floor((F.col("s") - lo) / (hi - lo) * buckets), F.lit(buckets - 1)).cast("int")
+def _running(scores: DataFrame, descending: bool, buckets: int = 256) -> DataFrame:
+    """``scores`` with rows and positives before each score, by sums within ranges and then over ranges.
+
+    Ranges hold about equally many distinct scores, whatever their spread: their ends are approximate quantiles, found by an
+    action of their own, as each use of a sketch may come out differently and both uses here must agree."""
+    ends = scores.agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0]
+    cuts = F.array(*[F.lit(e) for e in sorted(set(ends or []))]).cast("array<double>")
+    part = F.size(F.filter(cuts, lambda e: e < F.col("s")))
     order = F.desc if descending else F.asc
     rows = scores.withColumn("part", part)
     sums = rows.groupBy("part").agg(F.sum("n").alias("pn"), F.sum("pos").alias("pp"))

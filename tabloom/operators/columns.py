@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..frame import ROW_ID, SPLIT, TrainTest
 from ..functions.expr import ieee_div, known, null_flag
+from .medians import exact_medians
 
 INTS = {"tinyint": (-(2**7), 2**7 - 1), "smallint": (-(2**15), 2**15 - 1), "int": (-(2**31), 2**31 - 1), "bigint": (-(2**63), 2**63 - 1)}
 FLOAT_MAX = 3.4028234663852886e38
@@ -37,10 +38,13 @@ def standerize(tt: TrainTest, encode_col: Sequence[str]) -> TrainTest:
 
 def fillna(tt: TrainTest, encode_col: Sequence[str], how: str) -> TrainTest:
     """Missing values become the median or mean of the train rows; other values of ``how`` are an error."""
-    statistic = {"median": F.median, "mean": F.avg}.get(how)
-    if statistic is None:
+    values = {f"__f_{c}": known(tt.df, c) for c in encode_col}
+    if how == "median":
+        wide = tt.df.crossJoin(F.broadcast(exact_medians(tt.train_rows, {}, values)))  # one row
+    elif how == "mean":
+        wide = with_statistics(tt.df, tt.train_rows, {n: F.avg(c) for n, c in values.items()})
+    else:
         raise ValueError(f"how must be 'median' or 'mean', not {how!r}")
-    wide = with_statistics(tt.df, tt.train_rows, {f"__f_{c}": statistic(known(tt.df, c)) for c in encode_col})
     return TrainTest(_replaced(wide, tt.df, {c: F.coalesce(known(tt.df, c).cast("double"), F.col(f"`__f_{c}`")) for c in encode_col}))
 
 

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..frame import TrainTest
 from ..functions.expr import ieee_div, known
+from .medians import exact_medians
 
+MEDIAN = "median"  # made apart from the others: see medians
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg,
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)),  # of a group without a known value: 0
-    "median": F.median,
     "min": F.min,
     "max": F.max,
     "var": F.var_samp,
@@ -58,7 +59,7 @@ def _aggregate(df: DataFrame, var: str, agg: str | Callable) -> Column:
     if callable(agg):
         return agg(F.col(f"`{var}`"))
     if agg not in AGGREGATES:
-        raise ValueError(f"unknown aggregate {agg!r}; known: {sorted(AGGREGATES)}")
+        raise ValueError(f"unknown aggregate {agg!r}; known: {sorted([*AGGREGATES, MEDIAN])}")
     return AGGREGATES[agg](known(df, var))
 
 
@@ -70,6 +71,22 @@ class _Plan:
     columns: dict[str, tuple[str, str | Callable]] = field(default_factory=dict)
 
 
+def _aggregated(df: DataFrame, plan: _Plan) -> DataFrame:
+    """One row for each group, keys as ``__<key>``; medians are joined to the other aggregates."""
+    keys = {f"__{k}": known(df, k) for k in plan.keys}
+    middle = {n: known(df, v) for n, (v, a) in plan.columns.items() if a == MEDIAN}
+    others = [_aggregate(df, v, a).alias(n) for n, (v, a) in plan.columns.items() if a != MEDIAN]
+    if not middle:
+        return df.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(*others)
+    medians = exact_medians(df, keys, middle)
+    if not others:
+        return medians
+    medians = medians.withColumnsRenamed({k: f"_{k}" for k in keys})
+    both = df.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(*others)
+    match = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_{k}`")) for k in keys]
+    return both.join(medians, match, "left").drop(*[f"_{k}" for k in keys]).select(*keys, *plan.columns)
+
+
 def groupby_features(df: DataFrame, specs: Sequence[GroupSpec | dict]) -> DataFrame:
     """``df`` with a column ``<agg>_<var>_groupby_<keys>`` for each aggregate.
 
@@ -87,7 +104,7 @@ def groupby_features(df: DataFrame, specs: Sequence[GroupSpec | dict]) -> DataFr
         plan.columns |= {name: (v, a) for name, v, a in spec.names()}
     out = df
     for plan in plans.values():
-        aggregated = df.groupBy(*[known(df, k).alias(f"__{k}") for k in plan.keys]).agg(*[_aggregate(df, v, a).alias(n) for n, (v, a) in plan.columns.items()])
+        aggregated = _aggregated(df, plan)
         aggregated = aggregated.drop(*[f"__{k}" for k in plan.keys if k not in plan.on])
         match = [known(df, k) == F.col(f"`__{k}`") for k in plan.on]
         joined = out.join(aggregated, match[0] if len(match) == 1 else [m for m in match], "left")

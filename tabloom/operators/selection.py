@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..frame import ROW_ID, SPLIT, TrainTest
-from ..functions.expr import known, safe_corr
+from ..functions.expr import known
 
 
 def _class(kind: T.DataType) -> str:
@@ -52,14 +52,74 @@ def duplicated_columns(df: DataFrame, columns: Sequence[str], row_id: str | None
     return [c for c in columns if any(b == c and same[i] is not False for i, (_, b) in enumerate(pairs))]
 
 
+def _products(p: int, shift: list[float]):
+    """Partial sums of one task over its rows, a row of arrays for each column: rows where both are known, sums and sums of squares
+    of the column there, and sums of products. Memory is 32 bytes for each pair of columns, whatever the rows."""
+
+    def part() -> int:
+        from pyspark import TaskContext
+
+        return TaskContext.get().partitionId() % 64
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        count, total, square, product = (np.zeros((p, p)) for _ in range(4))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns]) - np.array(shift)
+            here = ~np.isnan(x)
+            x, m = np.where(here, x, 0.0), here.astype(np.float64)
+            count += m.T @ m
+            total += x.T @ m
+            square += (x * x).T @ m
+            product += x.T @ x
+        sums = {"n": count, "s": total, "q": square, "c": product}
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(p), pa.int32()), "part": pa.array([part()] * p, pa.int32()), **{k: pa.array(list(v), pa.list_(pa.float64())) for k, v in sums.items()}})
+
+    return run
+
+
+def _added(rows):
+    """The rows of one group, of one column, added up."""
+    import numpy as np
+    import pyarrow as pa
+
+    sums = {k: np.sum([np.asarray(v.values) for v in rows.column(k)], axis=0) for k in ("n", "s", "q", "c")}
+    return pa.table({k: pa.array([rows.column(k)[0].as_py()], pa.int32()) for k in ("i", "part")} | {k: pa.array([v], pa.list_(pa.float64())) for k, v in sums.items()})
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float | None]:
-    """Pearson correlation of every pair, over rows where both are known; all pairs in one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    if not pairs:
+    """Pearson correlation of every pair, over rows where both are known; None if either is constant there or not finite.
+
+    Each task multiplies the matrix of its rows, less the mean of each column, by itself and sends p rows of p sums, so neither
+    the plan nor the rows shuffled grow with the number of pairs. Where a sum is too small to tell a constant from a small
+    spread, smallest and largest value of that pair are compared."""
+    if len(columns) < 2:
         return {}
-    row = df.agg(*[safe_corr(known(df, a), known(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
-    out = {p: row[i] for i, p in enumerate(pairs)}
-    return out | {(b, a): r for (a, b), r in out.items()}
+    import numpy as np
+
+    p, schema = len(columns), "i int, part int, n array<double>, s array<double>, q array<double>, c array<double>"
+    x = [known(df, c).cast("double") for c in columns]
+    ends = df.agg(*[f(v).alias(f"{k}{i}") for i, v in enumerate(x) for k, f in (("m", F.avg), ("a", F.min), ("b", F.max))]).first()
+    shift = [m if m is not None and np.isfinite(m) else 0.0 for m in ends[::3]]
+    varies = np.array([ends[3 * i + 1] != ends[3 * i + 2] for i in range(p)])
+    numbers = df.select(*[v.alias(f"x{i}") for i, v in enumerate(x)])
+    partial = numbers.mapInArrow(_products(p, shift), schema).groupBy("i", "part").applyInArrow(_added, schema)
+    parts = partial.groupBy("i").applyInArrow(_added, schema).collect()  # p rows; 64 groups each before that
+    n, s, q, c = (np.array([r[k] for r in sorted(parts, key=lambda r: r.i)]).reshape(-1, p) for k in ("n", "s", "q", "c"))
+    if not len(n):
+        return dict.fromkeys(((a, b) for a in columns for b in columns if a != b))
+    with np.errstate(all="ignore"):
+        spread = np.where(varies[:, None], q - s * s / n, 0.0)
+        doubtful = [(i, j) for i, j in np.argwhere((spread <= 1e-9 * q) & varies[:, None] & varies[None, :] & (n > 0)) if i != j]
+        for at in range(0, len(doubtful), 100):
+            some = doubtful[at : at + 100]
+            row = df.agg(*[(F.min(y) < F.max(y)).alias(f"d{k}") for k, (i, j) in enumerate(some) for y in [F.when(x[j].isNotNull(), x[i])]]).first()
+            for (i, j), differs in zip(some, row, strict=True):
+                spread[i, j] = spread[i, j] if differs else 0.0
+        r = (c - s * s.T / n) / np.sqrt(np.where((spread > 0) & (spread.T > 0), spread * spread.T, np.nan))
+    return {(a, b): float(r[i, j]) if np.isfinite(r[i, j]) else None for i, a in enumerate(columns) for j, b in enumerate(columns) if i != j}
 
 
 def high_correlation_columns(df: DataFrame, columns: Sequence[str], limit: float) -> list[str]:

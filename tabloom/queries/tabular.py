@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..frame import ROW_ID, SPLIT, TrainTest
 from ..functions import metrics
-from ..functions.expr import safe_corr, threshold
+from ..functions.expr import threshold
 from ..operators import columns as C
 from ..operators import encoders as E
 from ..operators import folds, groupby, latent, selection
+from ..operators.medians import exact_medians
 from ..plans import models, runner
 from ..sources import io, store
 from ..streaming import fitted
@@ -255,8 +256,9 @@ def A9_nunique_columns(spark, d):
 
 @query("SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi, ROUND(avg(c_acctbal), 4) AS mean, ROUND(median(c_acctbal), 4) AS median, count(*)::BIGINT AS n FROM customer")
 def A10_global(spark, d):
-    c = F.col("c_acctbal")
-    return t(spark, d, "customer").agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.round(F.avg(c), 4).alias("mean"), F.round(F.median(c), 4).alias("median"), F.count("*").alias("n"))
+    customer, c = t(spark, d, "customer"), F.col("c_acctbal")
+    rest = customer.agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.round(F.avg(c), 4).alias("mean"), F.count("*").alias("n"))
+    return rest.crossJoin(F.broadcast(exact_medians(customer, {}, {"median": c}))).withColumn("median", F.round("median", 4))
 
 
 NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -265,7 +267,8 @@ PAIRS = [(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]]
 
 @query("SELECT " + ", ".join(f"ROUND(corr({a}, {b}), 8) AS {a}__{b}" for a, b in PAIRS) + " FROM lineitem")
 def A11_corr(spark, d):
-    return t(spark, d, "lineitem").agg(*[F.round(safe_corr(F.col(a), F.col(b)), 8).alias(f"{a}__{b}") for a, b in PAIRS])
+    found = selection.correlations(t(spark, d, "lineitem"), NUMBERS)
+    return spark.createDataFrame([tuple(found[p] for p in PAIRS)], ", ".join(f"{a}__{b} double" for a, b in PAIRS)).select(*[r(f"{a}__{b}", 8) for a, b in PAIRS])
 
 
 @query("SELECT user_id AS id, " + sql_rs("avg(value)", 6) + " AS pred FROM events GROUP BY user_id")
@@ -315,7 +318,18 @@ def D1_duplicated(spark, d):
     return _names(spark, selection.duplicated_columns(p.df, p.columns, ROW_ID))
 
 
-@query("SELECT col FROM (SELECT corr(l_quantity, l_extendedprice) AS l_extendedprice FROM lineitem) UNPIVOT (c FOR col IN (l_extendedprice)) WHERE c > 0.5")
+# a column goes if one before it that is still there correlates with it; that is one SELECT for each column in turn
+HIGH = "(SELECT " + ", ".join(f"corr({a}, {b}) AS {a}__{b}" for a, b in PAIRS) + " FROM lineitem)"
+
+
+def _greedy_sql() -> str:
+    gone: dict[str, str] = {}
+    for j, b in enumerate(NUMBERS):
+        gone[b] = "(" + " OR ".join([f"(NOT {gone[a]} AND {a}__{b} > 0.5)" for a in NUMBERS[:j]] or ["false"]) + ")"
+    return " UNION ALL ".join(f"SELECT '{c}' AS col FROM {HIGH} h WHERE {gone[c]}" for c in NUMBERS)
+
+
+@query(_greedy_sql())
 def D1_high_corr(spark, d):
     li = TrainTest.marked(t(spark, d, "lineitem").select(*NUMBERS, "l_returnflag"), F.lit(True))
     return _names(spark, selection.detect_delete_cols(li, [], 0.5)[2])

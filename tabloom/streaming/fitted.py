@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..frame import TrainTest
 from ..functions.expr import ieee_div, known
 from ..operators.columns import datetime_parser
+from ..operators.medians import exact_medians
 
 
 @dataclass(frozen=True)
@@ -40,8 +41,13 @@ class Fitted:
 
 
 def fit(train: DataFrame, columns: Sequence[str], kind: str, how: str = "median") -> Fitted:
-    """``kind``: standerize, fillna (with ``how``) or circle; one aggregation."""
-    takes = {"standerize": (F.avg, F.stddev_pop), "fillna": ({"median": F.median, "mean": F.avg}[how],), "circle": (F.max,)}[kind]
+    """``kind``: standerize, fillna (with ``how``) or circle; one action."""
+    if kind == "fillna" and how == "median":
+        row = exact_medians(train, {}, {f"x{i}": known(train, c) for i, c in enumerate(columns)}).first()
+        return Fitted(kind, {c: (row[i],) for i, c in enumerate(columns)})
+    takes = {"standerize": (F.avg, F.stddev_pop), "fillna": ({"mean": F.avg}.get(how),), "circle": (F.max,)}[kind]
+    if None in takes:
+        raise ValueError(f"how must be 'median' or 'mean', not {how!r}")
     row = train.agg(*[f(known(train, c).cast("double")).alias(f"x{i}_{k}") for i, c in enumerate(columns) for k, f in enumerate(takes)]).first()
     n = len(takes)
     return Fitted(kind, {c: tuple(row[n * i : n * i + n]) for i, c in enumerate(columns)})

@@ -7,6 +7,8 @@ from tabloom.frame import ROW_ID, SPLIT, TrainTest
 from tabloom.functions import metrics
 from tabloom.functions.expr import clean_nan, ieee_div, safe_corr
 from tabloom.operators import columns, encoders, folds, groupby, latent, selection
+from tabloom.operators.medians import exact_medians
+from tabloom.streaming import fitted
 
 PASSENGERS = [
     # id, pclass, sibsp, age, fare, sex, embarked, adult_male, now
@@ -245,3 +247,64 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None)], "id long, y double")
     t = TrainTest.from_null_target(df, "y", "id")
     assert t.train.count() == t.test.count() == 1 and t.columns == ["id", "y"] and {SPLIT, ROW_ID} <= set(t.df.columns)
+
+
+def _statistics_rows(spark, n=60_000):
+    """A key of half of all rows, a key without values, null keys, skewed and tied values, nulls and NaN."""
+    i = F.col("id")
+    u = lambda seed: F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(1_000_003)) / 1_000_003
+    df = spark.range(n).withColumn("k", F.when(u(1) < 0.5, 0).when(u(1) < 0.51, None).otherwise((u(2) * 40).cast("int")))
+    df = df.withColumn("a", F.when((F.col("k") == 7) | (u(3) < 0.1), None).when(u(3) < 0.12, float("nan")).otherwise(F.pow(u(4) - 0.3, F.lit(5.0)) * 1e6))
+    return df.withColumn("b", (u(5) * 4).cast("int")).withColumn("c", F.when(u(6) > 0.2, F.col("a") + 1000 * u(7)))
+
+
+def test_medians_are_exact(spark):
+    df = _statistics_rows(spark)
+    values = {"a": F.nanvl("a", F.lit(None)), "b": F.col("b")}
+    theirs = {r.k: (r.a, r.b) for r in df.groupBy("k").agg(F.median(values["a"]).alias("a"), F.median("b").alias("b")).collect()}
+    assert {r.k: (r.a, r.b) for r in exact_medians(df, {"k": F.col("k")}, values).collect()} == theirs
+    assert theirs[7][0] is None and None in theirs
+    assert tuple(exact_medians(df, {}, values).first()) == tuple(df.agg(F.median(values["a"]), F.median("b")).first())
+    assert {r.k: (r.a, r.b) for r in exact_medians(df, {"k": F.col("k")}, values, accuracy=500).collect()} == theirs
+
+
+def test_medians_of_nothing_and_of_few(spark):
+    none = spark.createDataFrame([], "k int, v double")
+    assert exact_medians(none, {}, {"v": F.col("v")}).collect() == [(None,)]
+    assert exact_medians(none, {"k": F.col("k")}, {"v": F.col("v")}).collect() == []
+    few = spark.createDataFrame([(1, 3.0), (2, 1.0), (2, 2.0), (3, float("inf")), (3, 1.0), (3, 1.0)], "k int, v double")
+    assert {r.k: r.v for r in exact_medians(few, {"k": F.col("k")}, {"v": F.col("v")}).collect()} == {1: 3.0, 2: 1.5, 3: 1.0}
+    assert fitted.fit(few, ["v"], "fillna").numbers == {"v": (1.5,)}
+    with pytest.raises(ValueError):
+        fitted.fit(few, ["v"], "fillna", "mode")
+
+
+def test_correlations_are_those_of_each_pair(spark):
+    df = _statistics_rows(spark).withColumns({"one": F.lit(0.1), "none": F.lit(None).cast("double"), "far": F.col("b") + 1e9, "odd": F.when(F.col("a").isNull(), 5.0).otherwise(F.when(F.col("b") > 9, 1.0).otherwise(2.0))})
+    names = ["a", "b", "c", "one", "none", "far", "odd"]
+    got = selection.correlations(df, names)
+    k = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in names}
+    for (x, y), r in got.items():
+        want = df.agg(safe_corr(k[x], k[y])).first()[0]
+        assert (r is None) == (want is None), (x, y, r, want)
+        assert r is None or abs(r - want) < 1e-6, (x, y, r, want)
+    assert got["a", "odd"] is None and got["one", "b"] is None and abs(got["b", "far"] - 1) < 1e-6
+    assert set(selection.correlations(df.limit(0), ["a", "b"]).values()) == {None}
+    assert selection.correlations(df, ["a"]) == {}
+
+
+def test_ranking_metrics_with_an_outlier(spark):
+    """One score far from the others must not put them into one range; ties and both ends count."""
+    df = spark.range(5000).select((F.col("id") % 3 == 0).cast("double").alias("y"), F.when(F.col("id") == 17, 1e12).otherwise(F.pmod(F.xxhash64("id"), F.lit(700)) / 7).alias("p"))
+    rows = [(r.y, r.p) for r in df.collect()]
+    pos, neg = sorted(p for y, p in rows if y), [p for y, p in rows if not y]
+    import bisect
+
+    wins = sum(len(pos) - bisect.bisect_right(pos, n) + (bisect.bisect_right(pos, n) - bisect.bisect_left(pos, n)) / 2 for n in neg)
+    assert abs(metrics.evaluate(df, "auc", "y", "p").first()[0] - wins / len(pos) / len(neg)) < 1e-12
+    total = 0.0
+    for s in set(p for _, p in rows):
+        at, hit = [y for y, p in rows if p >= s], [y for y, p in rows if p == s]
+        total += sum(hit) * sum(at) / len(at)
+    assert abs(metrics.evaluate(df, "prauc", "y", "p").first()[0] - total / len(pos)) < 1e-12
+    assert metrics.evaluate(df.limit(0), "auc", "y", "p").first()[0] is None

@@ -109,7 +109,7 @@ def latent_features(tt: TrainTest, columns: Sequence[str], n: int, factor: Facto
             wide = found.select(F.col("doc").alias("__doc"), *[F.col("v")[i].alias(x) for i, x in enumerate(names)])
             df = df.join(wide, F.col(f"`{c1}`").cast("long") == F.col("__doc"), "left").drop("__doc")
             made += names
-        except Exception as e:  # a pair without tokens or with too few of them
+        except ValueError as e:  # a pair without tokens or with too few of them; a failed job is not one
             if strict:
                 raise
             warnings.warn(f"{c1}, {c2} skipped: {e}", stacklevel=2)

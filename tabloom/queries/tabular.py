@@ -318,28 +318,51 @@ def D1_duplicated(spark, d):
     return _names(spark, selection.duplicated_columns(p.df, p.columns, ROW_ID))
 
 
-# a column goes if one before it that is still there correlates with it; that is one SELECT for each column in turn
-HIGH = "(SELECT " + ", ".join(f"corr({a}, {b}) AS {a}__{b}" for a, b in PAIRS) + " FROM lineitem)"
+# a column goes if one before it that is still there correlates with it: a condition for each column in turn
+LINES = "(SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_extendedprice * (1 - l_discount) AS net, l_quantity * 2 + l_tax AS twice, -l_quantity AS minus FROM lineitem)"
+LINE_COLS = (*NUMBERS, "net", "twice", "minus")
 
 
 def _greedy_sql() -> str:
+    pairs = [(a, b) for i, a in enumerate(LINE_COLS) for b in LINE_COLS[i + 1 :]]
+    high = "(SELECT " + ", ".join(f"corr({a}, {b}) AS {a}__{b}" for a, b in pairs) + f" FROM {LINES} x)"
     gone: dict[str, str] = {}
-    for j, b in enumerate(NUMBERS):
-        gone[b] = "(" + " OR ".join([f"(NOT {gone[a]} AND {a}__{b} > 0.5)" for a in NUMBERS[:j]] or ["false"]) + ")"
-    return " UNION ALL ".join(f"SELECT '{c}' AS col FROM {HIGH} h WHERE {gone[c]}" for c in NUMBERS)
+    for j, b in enumerate(LINE_COLS):
+        gone[b] = "(" + " OR ".join([f"(NOT {gone[a]} AND {a}__{b} > 0.5)" for a in LINE_COLS[:j]] or ["false"]) + ")"
+    return " UNION ALL ".join(f"SELECT '{c}' AS col FROM {high} h WHERE {gone[c]}" for c in LINE_COLS)
 
 
 @query(_greedy_sql())
 def D1_high_corr(spark, d):
-    li = TrainTest.marked(t(spark, d, "lineitem").select(*NUMBERS, "l_returnflag"), F.lit(True))
+    net, twice = F.col("l_extendedprice") * (1 - F.col("l_discount")), F.col("l_quantity") * 2 + F.col("l_tax")
+    lines = t(spark, d, "lineitem").select(*NUMBERS, "l_returnflag", net.alias("net"), twice.alias("twice"), (-F.col("l_quantity")).alias("minus"))
+    li = TrainTest.marked(lines, F.lit(True))
     return _names(spark, selection.detect_delete_cols(li, [], 0.5)[2])
 
 
-@query()
-def D3_D4_D5_matrix_factorization(spark, d):
+def latent_rows(spark, d) -> DataFrame:
+    """Orders with the latent features of their whole keys, written once as several sums read them."""
     o = t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("cust"), F.dayofmonth("o_orderdate").alias("day"))
-    out = latent.matrix_factorization(split(o, "o_orderkey"), ["cust", "day"], 3, 2).df
-    return out.drop(SPLIT, ROW_ID)
+    path = io.scratch(spark, "latent")
+    latent.matrix_factorization(split(o, "o_orderkey"), ["cust", "day"], 3, 2).df.drop(SPLIT, ROW_ID).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+# what holds for any topic model and any truncated decomposition: shares add up to one, singular directions are orthogonal, the
+# first is the longest, and none is longer than the table itself
+@query("SELECT o_orderkey, 1 AS shares, 1 AS orthogonal, 1 AS ordered, 1 AS within FROM orders")
+def D3_D4_D5_matrix_factorization(spark, d):
+    out = latent_rows(spark, d)
+    shares, checks = F.lit(True), []
+    for a, b in (("cust", "day"), ("day", "cust")):
+        topics = [F.col(f"CountLDA3_{a}_{b}_{i}") for i in range(3)]
+        shares = shares & (F.abs(topics[0] + topics[1] + topics[2] - 1) < 1e-4) & (F.least(*topics) >= 0)
+        x, y = (F.col(f"CountSVD2_{a}_{b}_{i}").cast("double") for i in range(2))
+        sums = out.select(a, x.alias("x"), y.alias("y")).distinct().agg(*[F.sum(v).alias(n) for n, v in (("xx", F.expr("x * x")), ("yy", F.expr("y * y")), ("xy", F.expr("x * y")))])
+        whole = latent.token_counts(out, a, b).agg(F.sum(F.pow(F.col("n"), F.lit(2.0))).alias("nn"))
+        checks.append(sums.crossJoin(F.broadcast(whole)).select((F.abs("xy") < 1e-3 * F.col("xx")).alias("orthogonal"), (F.col("xx") >= F.col("yy")).alias("ordered"), (F.col("xx") + F.col("yy") <= 1.0001 * F.col("nn")).alias("within")))
+    both = checks[0].union(checks[1]).agg(*[F.bool_and(c).cast("int").alias(c) for c in ("orthogonal", "ordered", "within")])
+    return out.select("o_orderkey", shares.cast("int").alias("shares")).crossJoin(F.broadcast(both))
 
 
 # ---- E: encoders ----------------------------------------------------------------------------------------
@@ -472,21 +495,53 @@ def L11_knn_predict(spark, d):
     return m.predict(e.where(F.col(ROW_ID) % 10 == 0).drop("y")).select(F.col(ROW_ID).alias("vec_id"), r("pred", 5))
 
 
-def _fitted(name: str, params: dict, classify: bool, valid: bool = False):
+LEARNT = "SELECT o_orderkey, 1 AS rows, 1 AS in_range, 1 AS beats_constant FROM orders WHERE o_orderkey % 5 = 0"
+
+
+def _signal_rows(spark, d, classify: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows whose target follows from two columns, so that a model that learns must beat the best constant."""
+    tr, te = _model_rows(spark, d)
+    signal = F.col("a") + 2 * F.col("b")
+    y = (signal > 80).cast("double") if classify else signal
+    return tr.withColumn("y", y).drop("price"), te.withColumn("y", y).drop("price")
+
+
+def _judged_model(model, tr: DataFrame, te: DataFrame, classify: bool) -> DataFrame:
+    """For each test row: how often it is predicted, whether the prediction is within what training targets span, and whether all
+    test predictions together are off by less (mean square) than the mean of the training targets."""
+    pred = model.predict(te.drop("y")).join(te.select(ROW_ID, "y"), ROW_ID)
+    span = tr.agg(F.min("y").alias("lo"), F.max("y").alias("hi"), F.avg("y").alias("mean"))
+    wide = pred.crossJoin(F.broadcast(span))
+    better = wide.agg((F.avg(F.pow(F.col("y") - F.col("pred"), F.lit(2.0))) < F.avg(F.pow(F.col("y") - F.col("mean"), F.lit(2.0)))).cast("int").alias("beats_constant"))
+    slack = F.lit(0.0) if classify else (F.col("hi") - F.col("lo")) / 10
+    within = F.col("pred").between(F.col("lo") - slack, F.col("hi") + slack)
+    out = wide.withColumn("in_range", F.coalesce(within, F.lit(False)).cast("int")).crossJoin(F.broadcast(better))
+    return out.groupBy(F.col(ROW_ID).alias("o_orderkey"), "beats_constant").agg(F.count("*").cast("int").alias("rows"), F.min("in_range").alias("in_range"))
+
+
+class _Chances:
+    """A model of margins as one of probabilities."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return self.model.predict(df).withColumn("pred", 1 / (1 + F.exp(-F.col("pred"))))
+
+
+def _fitted(name: str, params: dict, classify: bool, valid: bool = False, margins: bool = False):
     def f(spark, d):
-        tr, te = _model_rows(spark, d)
-        y = (F.col("price") > 150000).cast("double") if classify else F.col("price")
-        tr, va = tr.withColumn("y", y).drop("price"), te.withColumn("y", y).drop("price")
-        m = models.build(name, name, params).train(tr, va if valid else None)
-        return m.predict(te.drop("price")).select(F.col(ROW_ID).alias("o_orderkey"), "pred")
+        tr, te = _signal_rows(spark, d, classify)
+        model = models.build(name, name, params).train(tr, te if valid else None)
+        return _judged_model(_Chances(model) if margins else model, tr, te, classify)
 
     return f
 
 
 SMALL = {"num_boost_round": 3, "max_depth": 3}
-QUERIES |= {
+FITTED = {
     "L1_lgbm": _fitted("ModelLGBM", SMALL, False, True),
-    "L3_focal": _fitted("ModelFocalLGBM", {"num_boost_round": 2, "max_depth": 3}, True),
+    "L3_focal": _fitted("ModelFocalLGBM", {"num_boost_round": 5, "learning_rate": 0.5, "max_depth": 3}, True, margins=True),
     "L4_xgb": _fitted("ModelXGB", {**SMALL, "objective": "binary:logistic"}, True, True),
     "L5_cat_classifier": _fitted("ModelCatClassifier", {"iterations": 3, "depth": 3}, True, True),
     "L6_cat_regressor": _fitted("ModelCatRegressor", {"iterations": 3, "depth": 3}, False, True),
@@ -495,6 +550,8 @@ QUERIES |= {
     "L10_svm": _fitted("ModelSVM", {"max_iter": 5}, True),
     "L12_nn": _fitted("ModelNN", {"epochs": 5, "hidden": [4]}, True),
 }
+QUERIES |= FITTED
+ORACLE |= dict.fromkeys(FITTED, LEARNT)
 
 # ---- streaming extension --------------------------------------------------------------------------------------
 
@@ -571,11 +628,9 @@ def C6_C7_predict_and_submit(spark, d):
     return back.join(mean, "o_orderkey").select("o_orderkey", (F.abs(F.col("y") - F.exp("p")) < 1e-9).cast("int").alias("is_exp_of_mean"))
 
 
-@query()
+@query(LEARNT)
 def L2_tuned(spark, d):
-    tr, te = _model_rows(spark, d)
-    y = (F.col("price") > 150000).cast("double")
+    tr, te = _signal_rows(spark, d, True)
     m = models.ModelOptunaLGBM("tuned", {"num_boost_round": 2, "objective": "binary"})
     m.steps = {"max_depth": (2, 3)}
-    m.train(tr.withColumn("y", y).drop("price"), te.withColumn("y", y).drop("price"))
-    return m.predict(te.drop("price")).select(F.col(ROW_ID).alias("o_orderkey"), "pred")
+    return _judged_model(m.train(tr, te), tr, te, True)

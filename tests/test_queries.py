@@ -2,6 +2,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tabloom.queries import ORACLE, QUERIES
+from tabloom.queries.tabular import latent_rows
 
 from .oracle import connect, rows_of_spark, rows_of_sql
 
@@ -21,7 +22,7 @@ def test_query(spark, name):
 
 
 def test_latent_query_has_whole_keys(spark):
-    out = QUERIES["D3_D4_D5_matrix_factorization"](spark, SF)
+    out = latent_rows(spark, SF)
     assert out.select("cust").distinct().count() == spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").distinct().count()
 
 

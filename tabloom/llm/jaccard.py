@@ -141,7 +141,8 @@ def common_cells(rows: DataFrame, width: int, bits: int, least: int, batch: int
                         parts, held = [], 0
         if parts:
             yield sent(parts)
-        _CACHE.clear()  # the worker may serve other operators next
+        _CACHE.clear()
+        shared.trim()
 
     def added(batches):
         import pyarrow as pa
@@ -211,6 +212,7 @@ def _listed(rows: DataFrame, table, width: int, bits: int) -> DataFrame:
                 lasts.append(int((shared_ if len(shared_) else rare)[-1]) if keep else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), arrays(rares), arrays(commons), pa.array(lasts, pa.int64())], ["doc_id", "t", "n", "cls", "rare", "common", "last"])
         _CACHE.clear()
+        shared.trim()
 
     return rows.mapInArrow(run, "doc_id long, t long, n long, cls long, rare array<long>, common array<long>, last long")
 
@@ -243,6 +245,7 @@ def _whole_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     sizes = np.cumsum([0, *map(len, sets)])
                     yield pa.RecordBatch.from_pydict({"cls": pa.array([_class(s) for s in sets], pa.int64()), "shingles": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(sets)))})
         _CACHE.clear()
+        shared.trim()
 
     marks = shared.settle(shared.bitmap(wanted, "key"), "jaccard-marks")
     keyed = rows.select("text", F.xxhash64("doc_id", "t").alias("key"))

@@ -175,7 +175,8 @@ def score(docs: DataFrame, model: Model | None, keep_at: float = 0.5, id_col: st
             numbers = [pa.array(x) if model is not None else pa.nulls(n, pa.float64()) for x in (tails.sum(1), *tails.T)]
             out = [keep] if carry else [*numbers, keep]
             yield pa.RecordBatch.from_arrays([*b.columns[:width], *out], columns)
-        _CACHE.clear()  # the worker may serve other operators next
+        _CACHE.clear()
+        shared.trim()
 
     return rows.mapInArrow(run, schema)
 

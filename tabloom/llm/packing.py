@@ -54,6 +54,8 @@ def pieces(docs: DataFrame, vocab: str, end_id: int = 1, capacity: int = 4096, i
                     out, held = [], 0
         if out:
             yield full()
+        out = []
+        shared.trim(encoders=False)
 
     shared.bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, PIECES)
@@ -224,6 +226,7 @@ def pack(stored: DataFrame, capacity: int = 4096, salts: int = 0) -> DataFrame:
     def place(batches):
         import pyarrow as pa
 
+        shared.trim()  # all pieces are encoded by now
         keys, first, sequence, offset = held.value
         for batch in batches:
             slot = batch.column("slot").to_numpy()

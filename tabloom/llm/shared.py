@@ -71,6 +71,24 @@ def bounded_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
         spark.conf.set(key, str(most_bytes))
 
 
+def trim(encoders: bool = True) -> None:
+    """At the end of a task in a Python worker, which may serve other operators next: give memory that was freed back to the
+    system, with ``encoders`` that of the token caches too, which only tasks that encode have a use for."""
+    import ctypes
+    import gc
+    import sys
+
+    import pyarrow as pa
+
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if encoders and tokens is not None:
+        tokens._ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """``name``, lengthened until no column of ``frames`` is called so in any case."""
     taken = {c.lower() for df in frames for c in df.columns}

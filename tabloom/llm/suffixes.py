@@ -288,6 +288,8 @@ def _matcher(held: list, window: int, shard_words: int, carry: int, at: int = -1
                 slices.append(batch.slice(first))
         if seqs:
             yield closed(slices, seqs)
+        slices, seqs = [], []
+        shared.trim()
 
     return run
 

@@ -1,27 +1,29 @@
 """Token ids of whole texts by a public tokenizer, with a cache of the pieces between spaces.
 
 Both supported vocabularies split a text into words before merging. In the byte-level one a single space between two
-characters that are not white space always starts a new word; in the other one white space always parts words and is
-dropped, and letters are lower-cased. Marks that end a piece after a Latin letter or digit are a word of their own in both.
+characters that are not white space always starts a new word, and a single line break there is a word of its own; in the
+other one white space always parts words and is dropped, and letters are lower-cased. ASCII marks that end a piece after a
+Latin letter or digit are a word of their own in both.
 Cutting at these places and joining the ids of the parts therefore gives the ids of the whole text. Texts for which this
 is not so plain (white space that touches a space, separators that only one side takes for white space, strings of added
 tokens, which have an id of their own) are encoded whole.
 
 Pieces that are not in the cache are encoded together, in one call for each text, where their ids can be told apart:
-tokens that begin with a space mark the beginning of a piece, tokens that end a word its end.
+tokens that begin with a space and line breaks mark the beginning of a piece, tokens that end a word its end.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
 
 import numpy as np
 
 _TOUCHING = re.compile(r"\s\s")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_MARKS = ".,;:!?"
+_MARKS = string.punctuation
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
@@ -42,7 +44,7 @@ class Encoder:
         names = self._tok.get_vocab()
         self._opens, self._ends = (np.zeros(max(names.values()) + 1, bool) for _ in range(2))
         for name, i in names.items():
-            self._opens[i], self._ends[i] = name.startswith("Ġ"), name.endswith("</w>")
+            self._opens[i], self._ends[i] = name.startswith("Ġ") or name == "Ċ", name.endswith("</w>")
         self._by_word = bool(self._ends.any())
 
     def _whole(self, text: str) -> bytes:
@@ -53,15 +55,17 @@ class Encoder:
         ids = self._mark_ids.get(marks)
         if ids is None:
             ids = self._whole(marks)
-            if len(marks) < 4:
+            if len(marks) < 6:
+                if len(self._mark_ids) >= 20_000:
+                    self._mark_ids.clear()
                 self._mark_ids[marks] = ids
         return ids
 
     def _together(self, pieces: list[str]) -> None:
-        """Put the ids of these pieces, with a space before each, into the new generation."""
-        many = [p for p in pieces if _LETTERS.fullmatch(p)] if self._by_word else [p for p in pieces if p]
+        """Put the ids of these pieces, with a space before each that does not begin with a line break, into the new generation."""
+        many = [p for p in pieces if _LETTERS.fullmatch(p)] if self._by_word else [p for p in pieces if p and p != "\n"]
         if len(many) > 1:
-            ids = np.array(self._tok.encode_batch_fast([" " + " ".join(many)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self._tok.encode_batch_fast([(" " + " ".join(many)).replace(" \n", "\n")], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.append(0, np.flatnonzero(self._ends[ids]) + 1) if self._by_word else np.append(np.flatnonzero(self._opens[ids]), len(ids))
             if len(cuts) != len(many) + 1 or cuts[0] or cuts[-1] != len(ids):
                 raise AssertionError("pieces can't be told apart")
@@ -69,14 +73,14 @@ class Encoder:
             self._new.update(zip(many, [blob[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
         for p in pieces:
             if p not in self._new:
-                self._new[p] = self._whole(" " + p)
+                self._new[p] = self._whole(p if p.startswith("\n") else " " + p)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self._added_start in text and self._added.search(text):
             return self._whole(text)
-        first = b""
+        skip, first = 0, b""
         if self._by_word:
             if _SEPARATORS.search(text):
                 return self._whole(text)
@@ -89,15 +93,18 @@ class Encoder:
         else:
             if _TOUCHING.search(text):
                 return self._whole(text)
-            head, _, text = text.partition(" ")
-            first = self._whole(head)
-            if not _:
-                return first
-            pieces = text.split(" ")
+            pieces = text.replace("\n", " \n").split(" ")  # those after a line break begin with it
+            head = pieces[0]
+            if not head or head[0].isspace():
+                first = self._whole(head) if head else b""
+                del pieces[0]
+            else:
+                pieces[0], skip = "\n" + head, 4  # bytes of the break's id
         new, old = self._new, self._old
-        missing = set(pieces).difference(new)
-        if missing:
-            wanted, ended = set(), []
+        found = list(map(new.get, pieces))
+        at = [i for i, ids in enumerate(found) if ids is None]
+        if at:
+            wanted, ended, missing = set(), [], {pieces[i] for i in at}
             for piece in missing:
                 ids = old.get(piece)
                 if ids is not None:
@@ -118,13 +125,16 @@ class Encoder:
                 self._together(list(wanted))
             for piece, base in ended:
                 new[piece] = new[base] + self._marks(piece[len(base) :])
-        out = first + b"".join(map(new.__getitem__, pieces))
-        if missing:
-            for piece in [p for p in {*wanted, *missing} if len(p) > 64]:
-                new.pop(piece, None)
+            for i in at:
+                found[i] = new[pieces[i]]
+            for known in (wanted, missing):
+                for piece in known:
+                    if len(piece) > 64:
+                        new.pop(piece, None)
+        out = b"".join(found)
         if len(new) >= self._most:
             self._old, self._new = new, {}
-        return out
+        return out[skip:] if skip else first + out
 
 
 def encoder(path: str, cache: int = 600_000) -> Encoder:

@@ -40,6 +40,25 @@ def test_encoder_on_edges(path, edge_texts):
             assert e.ids(t) == whole(path, t)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"aé2 ", "\n", "\t", "\r", "b\n", " c", "$$$", "&&&", "#", "'", "'s", "<|", ".", "-", "\u0338", "²"]), max_size=30).map("".join), max_size=6))
+def test_line_breaks_and_marks(path, texts):
+    e = tokens.encoder(path, 5)
+    for t in [*texts, *texts]:
+        assert e.ids(t) == whole(path, t)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_line_breaks_and_marks_make_no_new_pieces(path, monkeypatch):
+    e, calls = tokens.Encoder(path), []
+    e.ids("a one two\none\ntwo one$$$ two.&&&")
+    monkeypatch.setattr(e, "_whole", calls.append)
+    monkeypatch.setattr(e, "_together", calls.append)
+    text = "one two\ntwo\none two$$$ one.&&&"
+    assert e.ids(text) == whole(path, text) and not calls
+
+
 def test_added_tokens_have_their_ids():
     assert tokens.encoder(BYTE).ids("a <|endoftext|> b") == whole(BYTE, "a <|endoftext|> b") and np.array([50256], "<u4").tobytes() in tokens.encoder(BYTE).ids("<|endoftext|>")
     assert tokens.encoder(WORD).ids("<|startoftext|>x") == np.array([49406], "<u4").tobytes() + whole(WORD, "x")

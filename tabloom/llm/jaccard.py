@@ -14,9 +14,11 @@ matter:
   with all their columns, which gives the full overlap counts, and these decide. A class with many candidates has many
   blocks, dealt by a salt, so no task holds all of them;
 * a column with more than ``crowd`` classes is not multiplied out at once. Its classes are first compared with one of their
-  own number for a few rounds; classes that are then in one component need no further comparison, and only pairs across
-  components whose sizes can link are multiplied out, by ranges of sizes. So all pairs of a large group of near copies are
-  never made, and no link that would join two components is lost.
+  own number for a few rounds; classes that are then in one component need no further comparison. What is left is measured
+  against a pivot of its crowd, the shingles that most of the crowd hold, and compared with the class nearest to it. What two
+  classes hold in and outside of the pivot bounds their overlap, so classes that no class of another component can reach
+  drop out one by one, before any pair is made. Only the others are multiplied out across components, by ranges of sizes. So
+  all pairs of a large group of near copies are never made, and no link that would join two components is lost.
 
 Shingles are 64-bit hashes of five consecutive lower-cased words.
 """
@@ -181,36 +183,44 @@ def _is_common(h: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     return (table[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
 
 
+def _prefix(s: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rare and the common shingles of the prefix."""
+    keep = len(s) - needed(len(s)) + 1 if len(s) else 0
+    common = _is_common(s, table, bits)
+    rare = s[~common][:keep]
+    return rare, s[common][: keep - len(rare)]
+
+
 def _class(s: np.ndarray) -> int:
     import xxhash
 
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def _arrays(parts: list[np.ndarray]):
+    import pyarrow as pa
+
+    sizes = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
 def _listed(rows: DataFrame, table, width: int, bits: int) -> DataFrame:
     """doc_id, t, n, cls and the prefix of each document: its rare shingles, then its common ones, and the last of all."""
 
     def run(batches):
         import pyarrow as pa
 
-        def arrays(parts):
-            sizes = np.cumsum([0, *map(len, parts)])
-            return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-
         for b in batches:
             n, cls, rares, commons, lasts = [], [], [], [], []
             for t in b.column(2):
                 s = shingles(t.as_py(), width)
                 n.append(len(s))
                 cls.append(_class(s) if len(s) else None)
-                keep = len(s) - needed(len(s)) + 1 if len(s) else 0
-                common = _is_common(s, table.value, bits)
-                rare = s[~common][:keep]
-                shared_ = s[common][: keep - len(rare)]
+                rare, shared_ = _prefix(s, table.value, bits)
                 rares.append(rare)
                 commons.append(shared_)
-                lasts.append(int((shared_ if len(shared_) else rare)[-1]) if keep else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), arrays(rares), arrays(commons), pa.array(lasts, pa.int64())], ["doc_id", "t", "n", "cls", "rare", "common", "last"])
+                lasts.append(int((shared_ if len(shared_) else rare)[-1]) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), _arrays(rares), _arrays(commons), pa.array(lasts, pa.int64())], ["doc_id", "t", "n", "cls", "rare", "common", "last"])
         _CACHE.clear()
         shared.trim()
 
@@ -218,7 +228,7 @@ def _listed(rows: DataFrame, table, width: int, bits: int) -> DataFrame:
 
 
 def _met(listed: DataFrame) -> DataFrame:
-    """h, cls, g: the prefix shingles that several classes have, and how many.
+    """h, cls, g, common: the prefix shingles that several classes have, how many, and if it is a common one.
 
     Rare shingles are in few documents each, as their cell has fewer than ``least`` or four times the mean, so they are counted
     in place. Common ones, which may be in a third of all, are counted with partial sums and joined, which Spark can split."""
@@ -226,13 +236,14 @@ def _met(listed: DataFrame) -> DataFrame:
     rare = classes.select("cls", F.explode("rare").alias("h"))
     rare = rare.withColumn("g", F.count("*").over(Window.partitionBy("h"))).where("g > 1")
     common = classes.select("cls", F.explode("common").alias("h"))
-    return rare.select("h", "cls", "g").union(common.join(common.groupBy("h").agg(F.count("*").alias("g")).where("g > 1"), "h").select("h", "cls", "g"))
+    common = common.join(common.groupBy("h").agg(F.count("*").alias("g")).where("g > 1"), "h")
+    return rare.select("h", "cls", "g", F.lit(False).alias("common")).union(common.select("h", "cls", "g", F.lit(True)))
 
 
-def _whole_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """cls and its whole set for the classes in ``wanted`` (cls, and key, the hash of the id and text of its first row). Texts
-    are picked by a bitmap of fixed size, so they are not shuffled; the few that it lets through by chance go in the join on
-    the class. The result is bucketed by class."""
+def _whole_sets(rows: DataFrame, wanted: DataFrame, table, width: int, bits: int) -> DataFrame:
+    """cls, its whole set and the rare shingles of its prefix for the classes in ``wanted`` (cls, and key, the hash of the id
+    and text of its first row). Texts are picked by a bitmap of fixed size, so they are not shuffled; the few that it lets
+    through by chance go in the join on the class. The result is bucketed by class."""
 
     def run(batches):
         import pyarrow as pa
@@ -242,29 +253,33 @@ def _whole_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 sets = [shingles(x.as_py(), width) for x in b.column(0)[lo : lo + 500]]
                 sets = [s for s in sets if len(s)]
                 if sets:
-                    sizes = np.cumsum([0, *map(len, sets)])
-                    yield pa.RecordBatch.from_pydict({"cls": pa.array([_class(s) for s in sets], pa.int64()), "shingles": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(sets)))})
+                    yield pa.RecordBatch.from_pydict({"cls": pa.array([_class(s) for s in sets], pa.int64()), "shingles": _arrays(sets), "rare": _arrays([_prefix(s, table.value, bits)[0] for s in sets])})
         _CACHE.clear()
         shared.trim()
 
     marks = shared.settle(shared.bitmap(wanted, "key"), "jaccard-marks")
     keyed = rows.select("text", F.xxhash64("doc_id", "t").alias("key"))
-    sets = shared.marked(keyed, "key", marks, "wanted").where("wanted").select("text").mapInArrow(run, "cls long, shingles array<long>")
-    sets = sets.groupBy("cls").agg(F.first("shingles").alias("shingles")).join(wanted.select("cls"), "cls", "left_semi")
+    sets = shared.marked(keyed, "key", marks, "wanted").where("wanted").select("text").mapInArrow(run, "cls long, shingles array<long>, rare array<long>")
+    sets = sets.groupBy("cls").agg(F.first("shingles").alias("shingles"), F.first("rare").alias("rare")).join(wanted.select("cls"), "cls", "left_semi")
     sets = shared.settle(sets, "jaccard-sets", by="cls")
     shared.discard(marks)
     return sets
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """The ``pairs`` (a, b) of classes that reach the threshold by their full overlap, counted in blocks of one b and at most
-    about ``block`` a. Rows of ``pairs`` are distinct."""
-    pairs = shared.settle(pairs, "jaccard-pairs")
+def _in_blocks(pairs: DataFrame, xs: DataFrame, ys: DataFrame, block: int) -> DataFrame:
+    """``pairs`` (a, b) with the columns of ``xs`` for a and of ``ys`` (b, y) for b, in blocks of one b and at most about
+    ``block`` a."""
     hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = pairs.join(hubs, "b").select("a", "b", F.pmod(F.xxhash64("a"), "blocks").cast("int").alias("salt"))
-    x = dealt.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
-    y = hubs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
-    both = x.join(y, ["b", "salt"])
+    y = hubs.join(ys, "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
+    return dealt.join(xs, "a").join(y, ["b", "salt"])
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """The ``pairs`` (a, b) of classes that reach the threshold by their full overlap, counted in blocks of one b. Rows of
+    ``pairs`` are distinct."""
+    pairs = shared.settle(pairs, "jaccard-pairs")
+    both = _in_blocks(pairs, sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), block)
     links = both.where(_enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
     links = shared.settle(links, "jaccard-links")
     shared.discard(pairs)
@@ -294,8 +309,78 @@ def _reaches(shared_: Column, first: Column, na: Column, nb: Column) -> Column:
     return _enough(shared_ + _least_size(first) - 1, na, nb)
 
 
-def _across(apart: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that meet in crowded columns alone and that their sizes let link.
+#: Classes of a crowd that vote on its pivot, as their mean number.
+_VOTERS = 24
+
+
+def _pivoted(apart: DataFrame, mixed: DataFrame, hot: DataFrame, sets: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(h, pivot): a pivot for each mixed column, and (cls, pivot, i, s, near): each class held against the pivots of its columns.
+
+    Every class has a main column, its largest. The pivot of a main column holds the shingles that most of its classes have,
+    by the votes of some of them; any set would do, a good one leaves fewer classes. A column takes the pivot of the main
+    column that most of its classes have. Of a class's shingles in the pivot (i) and outside (s) those rare ones of its prefix
+    count not that are in columns of few classes, as pairs that share such a column are decided; ``open`` is the number of the
+    others. Rows of classes that can't link in their column by that number alone are not measured. ``near`` is the similarity
+    of what counts and the pivot."""
+    met = _reachable(apart.join(mixed.select("h"), "h").withColumns({"i": F.col("open"), "s": F.lit(0)}))
+    met = shared.settle(met.select("h", "cls", "g"), "jaccard-open")
+    main = shared.settle(met.groupBy("cls").agg(F.max(F.struct("g", "h")).alias("m")).select("cls", F.col("m.h").alias("pivot")), "jaccard-main")
+    voters = main.join(main.groupBy("pivot").agg(F.count("*").alias("size")), "pivot").where(F.pmod(F.xxhash64("cls"), "size") < _VOTERS).select("cls", "pivot")
+    voters = shared.settle(voters, "jaccard-voters")
+    votes = voters.join(sets.select("cls", "shingles"), "cls").select("pivot", F.explode("shingles").alias("x")).groupBy("pivot", "x").agg(F.count("*").alias("votes"))
+    most = votes.join(voters.groupBy("pivot").agg(F.count("*").alias("voters")), "pivot").where(2 * F.col("votes") > F.col("voters"))
+    pivots = shared.settle(most.groupBy("pivot").agg(F.collect_list("x").alias("y")), "jaccard-pivots")  # at most twice a voter's set
+    taken = met.join(main, "cls").groupBy("h", "pivot").count().join(pivots.select("pivot"), "pivot", "left_semi")
+    taken = shared.settle(taken.groupBy("h").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot")), "jaccard-taken")
+
+    pairs = shared.settle(met.join(taken, "h").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct(), "jaccard-pairs")
+    crowded = hot.join(main.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.collect_list("h").alias("crowded"))
+    own = crowded.join(sets, "cls").select(F.col("cls").alias("a"), F.size("shingles").alias("n"), F.array_except("shingles", F.array_except("rare", "crowded")).alias("x"))
+    both = _in_blocks(pairs, own, pivots.select(F.col("pivot").alias("b"), "y"), block)
+    i = F.size(F.array_intersect("x", "y"))
+    measured = both.select(F.col("a").alias("cls"), F.col("b").alias("pivot"), "n", i.cast("long").alias("i"), (F.size("x") - i).cast("long").alias("s"), (i / (F.col("n") + F.size("y") - i)).alias("near"))
+    measured = shared.settle(measured, "jaccard-measured")
+    shared.discard(met, main, voters, pivots, pairs)
+    return taken, measured
+
+
+def _to_nearest(apart: DataFrame, measured: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class with the class nearest to the pivot of a column of it, where they are in different components
+    and what they hold in and outside of the pivot lets them link."""
+    part = apart.select("cls", "component").distinct()
+    held = measured.join(part, "cls")
+    nearest = held.groupBy("pivot").agg(F.max_by(F.struct("cls", "component", "n", "i", "s"), F.struct("near", "cls")).alias("b"))
+    possible = _enough(F.least("i", "b.i") + F.least("s", "b.s"), F.col("n"), F.col("b.n")) & (F.col("component") != F.col("b.component"))
+    return held.join(nearest, "pivot").where(possible).select(F.col("cls").alias("a"), F.col("b.cls").alias("b")).distinct()
+
+
+def _reachable(open_: DataFrame) -> DataFrame:
+    """The rows of ``open_`` whose class may link with one of another component in that column, by what both hold in and
+    outside of the column's pivot: an overlap is at most the lesser of both i and the lesser of both s.
+
+    Rows are held against the classes of their column in ranges of n and s, of which the largest i and s and the least n count,
+    in all and outside of the component that has most of the column. Rare shingles of a prefix that are in no crowded column
+    are in no class that ends with a common one, without a column shared; so the bound is used in columns whose classes all
+    end so (``sure``), which those of common shingles are."""
+    most = open_.groupBy("h", "component").count().groupBy("h").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    open_ = open_.join(most, "h")
+    away = F.col("component") != F.col("main")
+    ranges = open_.groupBy("h", _step(F.col("n")).alias("step"), F.floor(F.log2(F.col("s") + 1)).alias("range")).agg(
+        *[f(F.when(w, F.col(c))).alias(f"{x}{c}") for w, x in ((F.lit(True), "all_"), (away, "away_")) for f, c in ((F.max, "i"), (F.max, "s"), (F.min, "n"))],
+        F.bool_and(F.col("last.common") & F.col("i").isNotNull()).alias("sure"),
+    )
+    columns = ["all_i", "all_s", "all_n", "away_i", "away_s", "away_n"]
+    ranges = ranges.groupBy("h").agg(F.collect_list(F.struct(*columns)).alias("ranges"), F.bool_and("sure").alias("sure"))  # some hundreds
+
+    def possible(r: Column) -> Column:
+        i, s, n = (F.when(away, r[f"all_{c}"]).otherwise(r[f"away_{c}"]) for c in "isn")
+        return _enough(F.least("i", i) + F.least("s", s), F.col("n"), n) & i.isNotNull()
+
+    return open_.join(ranges, "h").where(~F.col("sure") | F.exists("ranges", possible)).drop("main", "ranges")
+
+
+def _across(apart: DataFrame, mixed: DataFrame, taken: DataFrame, measured: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that meet in crowded columns alone and that their sizes and pivots let link.
 
     Let a be the class whose prefix ends first. It meets only classes of the sizes that it can link with, and must share with
     them ``t`` of its crowded columns, as what lies behind its prefix adds at most ``needed`` - 1. Of sets that share t of one
@@ -303,21 +388,24 @@ def _across(apart: DataFrame, mixed: DataFrame) -> DataFrame:
     are dealt by column and by ranges of both sizes, so classes that share a column but can't link are not paired."""
     mine = Window.partitionBy("cls")  # at most the shingles of one text
     open_ = apart.join(mixed.select("h"), "h").select("*", F.row_number().over(mine.orderBy("g", "h")).alias("rank"), F.count("*").over(mine).alias("q"))
+    open_ = open_.join(taken, "h", "left").join(measured.select("cls", "pivot", "i", "s"), ["cls", "pivot"], "left")
+    open_ = _reachable(open_.where("pivot is null or i is not null"))  # others were not within reach of any before they were measured
     n, own = F.col("n"), F.struct("last", "cls")  # a total order, so each pair is made once
 
     def least_shared(na: Column, nb: Column) -> Column:
         return F.ceil(3 * (na + nb) / 7) - _least_size(na) + 1
 
-    x = open_.select("h", "rank", "q", "n", F.col("cls").alias("a"), F.col("component").alias("ca"), own.alias("enda"), _least_size(n).alias("lo"), _most_size(n, F.col("apart")).alias("hi"), _step(n).alias("stepa")).where("hi >= lo")
+    x = open_.select("h", "rank", "q", "n", "sure", F.col("i").alias("ia"), F.col("s").alias("sa"), F.col("cls").alias("a"), F.col("component").alias("ca"), own.alias("enda"), _least_size(n).alias("lo"), _most_size(n, F.col("apart")).alias("hi"), _step(n).alias("stepa")).where("hi >= lo")
     x = x.withColumn("stepb", F.explode(F.sequence(_step(F.col("lo")), _step(F.col("hi")))))
     smallest = F.greatest("lo", F.floor(F.pow(F.lit(_RANGE), "stepb") * (1 - 1e-9)))
     x = x.where(F.col("rank") <= F.col("q") + 1 - F.greatest(F.lit(1), least_shared(n, smallest)))
-    y = open_.select("h", "rank", "q", F.col("cls").alias("b"), n.alias("nb"), F.col("component").alias("cb"), own.alias("endb"), _step(n).alias("stepb"), F.explode(F.sequence(_step(_least_size(n)), _step(F.floor(4 * n / 3)))).alias("stepa"))
+    y = open_.select("h", "rank", "q", F.col("i").alias("ib"), F.col("s").alias("sb"), F.col("cls").alias("b"), n.alias("nb"), F.col("component").alias("cb"), own.alias("endb"), _step(n).alias("stepb"), F.explode(F.sequence(_step(_least_size(n)), _step(F.floor(4 * n / 3)))).alias("stepa"))
     largest = F.least(F.floor(4 * F.col("nb") / 3), F.ceil(F.pow(F.lit(_RANGE), F.col("stepa") + 1) * (1 + 1e-9)))
     # least_shared falls as a grows, but for one that rounding may add
     y = y.where(F.col("rank") <= F.col("q") + 1 - F.greatest(F.lit(1), least_shared(largest, F.col("nb")) - 1))
-    met = x.drop("rank", "q", "n").join(y.drop("rank", "q"), ["h", "stepa", "stepb"])
-    return met.where((F.col("enda") < F.col("endb")) & (F.col("ca") != F.col("cb")) & F.col("nb").between(F.col("lo"), F.col("hi"))).select("a", "b").distinct()
+    met = x.drop("rank", "q").join(y.drop("rank", "q"), ["h", "stepa", "stepb"])
+    possible = ~F.col("sure") | _enough(F.least("ia", "ib") + F.least("sa", "sb"), n, F.col("nb"))
+    return met.where(possible & (F.col("enda") < F.col("endb")) & (F.col("ca") != F.col("cb")) & F.col("nb").between(F.col("lo"), F.col("hi"))).select("a", "b").distinct()
 
 
 def groups(docs: DataFrame, width: int = 5, crowd: int = 24, rounds: int = 3, bits: int = 26, least: int = 32, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,32 +419,33 @@ def groups(docs: DataFrame, width: int = 5, crowd: int = 24, rounds: int = 3, bi
     listed = shared.settle(_listed(rows, table, width, bits), "jaccard-listed")
     facts = shared.settle(listed.select("doc_id", "t", "n", "cls"), "jaccard-facts")
     last = F.struct((F.size("common") > 0).alias("common"), F.col("last").alias("h"))  # compares as the order of shingles does
-    one = listed.where("cls is not null").select("cls", "n", last.alias("last"), F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t").alias("first"))
-    sizes = shared.settle(one.groupBy("cls").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.min("first").alias("first")), "jaccard-classes")
+    one = listed.where("cls is not null").select("cls", "n", F.size("rare").alias("rares"), last.alias("last"), F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t").alias("first"))
+    sizes = shared.settle(one.groupBy("cls").agg(F.first("n").alias("n"), F.first("rares").alias("rares"), F.first("last").alias("last"), F.min("first").alias("first")), "jaccard-classes")
     met = shared.settle(_met(listed), "jaccard-met")
     shared.discard(listed)
 
     # what may link: pairs that meet in columns of few classes, counted and held against their bound
-    seen = met.groupBy("cls").agg(F.count("*").alias("m"), F.sum((F.col("g") > crowd).cast("long")).alias("q"))
-    known = seen.join(sizes, "cls").select("cls", "n", "last", "m", "q", (F.col("n") - _least_size(F.col("n")) + 1 - F.col("m")).alias("alone"))
+    seen = met.groupBy("cls").agg(F.count("*").alias("m"), F.sum((F.col("g") > crowd).cast("long")).alias("q"), F.sum((~F.col("common") & (F.col("g") > crowd)).cast("long")).alias("qr"))
+    alone, open_ = F.col("n") - _least_size(F.col("n")) + 1 - F.col("m"), F.col("n") - F.col("rares") + F.col("qr")
+    known = seen.join(sizes, "cls").select("cls", "n", "last", "m", "q", alone.alias("alone"), open_.alias("open"))
     known = shared.settle(known, "jaccard-known")
     counts = shared.settle(_counted(met, crowd), "jaccard-counts")
     likely = shared.settle(_bounded(counts, known), "jaccard-likely")
     # pairs that meet in some column of few classes are decided above; for others all those are ``apart``
-    hot = met.where(F.col("g") > crowd).select("h", "g", "cls").join(known.select("cls", "n", "last", (F.col("alone") + F.col("m") - F.col("q")).alias("apart")), "cls")
+    hot = met.where(F.col("g") > crowd).select("h", "g", "cls").join(known.select("cls", "n", "last", "open", (F.col("alone") + F.col("m") - F.col("q")).alias("apart")), "cls")
     hot = shared.settle(hot, "jaccard-crowds")
     shared.discard(met)
     wanted = likely.select(F.col("a").alias("cls")).union(likely.select("b")).union(hot.select("cls")).distinct()
     wanted = shared.settle(wanted.join(sizes, "cls").select("cls", F.xxhash64("first.doc_id", "first.t").alias("key")), "jaccard-wanted")
-    sets = _whole_sets(rows, wanted, width)
+    sets = _whole_sets(rows, wanted, table, width, bits)
     links = _linked(likely, sets, block)
     shared.discard(wanted, known, counts, likely)
     part = components(links, "jaccard")
 
-    # crowds: one of them is compared with all others, then only pairs across components are left
-    k = 0
-    while k <= rounds:
-        apart = hot.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("h", "g", "cls", "n", "last", "apart", F.coalesce("component", "cls").alias("component"))
+    # crowds: one of them is compared with all others, then the one nearest to its pivot, then only pairs across components are left
+    k, taken, measured = 0, None, None
+    while k <= rounds + 1:
+        apart = hot.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("h", "g", "cls", "n", "last", "apart", "open", F.coalesce("component", "cls").alias("component"))
         # first the class with the fewest shingles of its own, which is likely the one that others were made from
         rank = (F.col("apart") / F.col("n") if k % 2 == 0 else F.lit(0.0)).alias("rank")
         mixed = apart.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(rank, F.xxhash64(F.lit(k), "cls").alias("r"), "cls", "n", "last", "apart", "component")).alias("centre")).where("lo < hi")
@@ -371,19 +460,22 @@ def groups(docs: DataFrame, width: int = 5, crowd: int = 24, rounds: int = 3, bi
             near = near & (_least_size(F.greatest("n", c["n"])) <= F.least("n", c["n"])) & (F.col("component") != F.col("centre.component"))
             tally = apart.join(mixed.select("h", "centre"), "h").where(near).groupBy("cls", F.col("centre.cls").alias("c")).count()
             chosen = tally.groupBy("cls").agg(F.max_by("c", F.struct("count", "c")).alias("c")).select(F.col("cls").alias("a"), F.col("c").alias("b"))
+        elif k == rounds:
+            taken, measured = _pivoted(apart, mixed, hot, sets, block)
+            chosen = _to_nearest(apart, measured)
         else:
-            chosen = _across(apart, mixed)
+            chosen = _across(apart, mixed, taken, measured)
         new = _linked(chosen, sets, block)
         shared.discard(mixed)
         if new.isEmpty():
-            k = max(k + 1, rounds)  # a round without links: only the pairs are left
+            k = max(k + 1, rounds)  # a round without links: only the pivots and the pairs are left
         else:
             both, old = shared.settle(links.union(new), "jaccard-links"), (links, part)
             links, k = both, k + 1
             part = components(links, "jaccard")
             shared.discard(*old)
         shared.discard(new)
-    shared.discard(hot, sets, links)
+    shared.discard(hot, sets, links, *([taken, measured] if measured is not None else []))
 
     named = sizes.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
     named = shared.settle(named, "jaccard-named")

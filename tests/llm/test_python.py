@@ -342,6 +342,31 @@ def test_crowd_at_the_threshold(spark, links):
     assert got == want and len({c for _, c in want.values()}) == (1 if links else 150)
 
 
+@pytest.mark.parametrize("lengths", [[150], [150, 149, 140]])
+def test_crowd_around_a_text(spark, monkeypatch, lengths):
+    """Of a large group of near copies, some just below the threshold to all others, few pairs are made where lengths are equal."""
+    r = random.Random(1)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for k in range(326):
+        w = list(base) if k >= 26 else ["alt", *base[1:]]
+        for j, at in enumerate(r.sample(range(9, 146, 5), r.choice([1, 2, 3]) if k >= 26 else 4)):
+            w[at] = f"own{k}x{j}"
+        texts.append(" ".join(w[: r.choice(lengths)]))
+    made, across = [], jaccard._across
+
+    def counted(*args):
+        pairs = across(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "_across", counted)
+    df = spark.createDataFrame(rows(texts), SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_components(df, bits=16).collect()}
+    assert got == brute_components(enumerate(texts))
+    assert len(lengths) > 1 or sum(made) < 2 * len(texts)
+
+
 # ---- quality ------------------------------------------------------------------------------------------
 
 

@@ -309,6 +309,8 @@ def _reaches(shared_: Column, first: Column, na: Column, nb: Column) -> Column:
     return _enough(shared_ + _least_size(first) - 1, na, nb)
 
 
+#: Links, or what is left of them, whose components one task finds: 1 MB.
+_FEW = 1 << 16
 #: Classes of a crowd that vote on its pivot, as their mean number.
 _VOTERS = 24
 
@@ -423,6 +425,7 @@ def groups(docs: DataFrame, width: int = 5, crowd: int = 24, rounds: int = 3, bi
     sizes = shared.settle(one.groupBy("cls").agg(F.first("n").alias("n"), F.first("rares").alias("rares"), F.first("last").alias("last"), F.min("first").alias("first")), "jaccard-classes")
     met = shared.settle(_met(listed), "jaccard-met")
     shared.discard(listed)
+    shared.release(spark)
 
     # what may link: pairs that meet in columns of few classes, counted and held against their bound
     seen = met.groupBy("cls").agg(F.count("*").alias("m"), F.sum((F.col("g") > crowd).cast("long")).alias("q"), F.sum((~F.col("common") & (F.col("g") > crowd)).cast("long")).alias("qr"))
@@ -435,12 +438,15 @@ def groups(docs: DataFrame, width: int = 5, crowd: int = 24, rounds: int = 3, bi
     hot = met.where(F.col("g") > crowd).select("h", "g", "cls").join(known.select("cls", "n", "last", "open", (F.col("alone") + F.col("m") - F.col("q")).alias("apart")), "cls")
     hot = shared.settle(hot, "jaccard-crowds")
     shared.discard(met)
+    shared.release(spark)
     wanted = likely.select(F.col("a").alias("cls")).union(likely.select("b")).union(hot.select("cls")).distinct()
     wanted = shared.settle(wanted.join(sizes, "cls").select("cls", F.xxhash64("first.doc_id", "first.t").alias("key")), "jaccard-wanted")
     sets = _whole_sets(rows, wanted, table, width, bits)
     links = _linked(likely, sets, block)
     shared.discard(wanted, known, counts, likely)
-    part = components(links, "jaccard")
+    table.destroy()
+    shared.release(spark)
+    part = components(links, "jaccard", few=_FEW)
 
     # crowds: one of them is compared with all others, then the one nearest to its pivot, then only pairs across components are left
     k, taken, measured = 0, None, None
@@ -462,6 +468,7 @@ def groups(docs: DataFrame, width: int = 5, crowd: int = 24, rounds: int = 3, bi
             chosen = tally.groupBy("cls").agg(F.max_by("c", F.struct("count", "c")).alias("c")).select(F.col("cls").alias("a"), F.col("c").alias("b"))
         elif k == rounds:
             taken, measured = _pivoted(apart, mixed, hot, sets, block)
+            shared.release(spark)
             chosen = _to_nearest(apart, measured)
         else:
             chosen = _across(apart, mixed, taken, measured)
@@ -472,9 +479,10 @@ def groups(docs: DataFrame, width: int = 5, crowd: int = 24, rounds: int = 3, bi
         else:
             both, old = shared.settle(links.union(new), "jaccard-links"), (links, part)
             links, k = both, k + 1
-            part = components(links, "jaccard")
+            part = components(links, "jaccard", few=_FEW)
             shared.discard(*old)
         shared.discard(new)
+        shared.release(spark)
     shared.discard(hot, sets, links, *([taken, measured] if measured is not None else []))
 
     named = sizes.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
@@ -482,6 +490,7 @@ def groups(docs: DataFrame, width: int = 5, crowd: int = 24, rounds: int = 3, bi
     named_first = named.groupBy("component").agg(F.min("first").alias("first"))
     found = shared.settle(facts.join(named.select("cls", "component").join(named_first, "component").select("cls", "first"), "cls", "left").select("doc_id", "t", "n", "cls", "first"), "jaccard-groups")
     shared.discard(facts, sizes, part, named)
+    shared.release(spark)
     return found
 
 

@@ -137,7 +137,10 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, most_rows: int =
     got.sort()
     if not got:
         return None
-    return fit([np.frombuffer(r[2], np.int32) for r in got], np.array([r[1] for r in got]), levels, **how)
+    model = fit([np.frombuffer(r[2], np.int32) for r in got], np.array([r[1] for r in got]), levels, **how)
+    del got
+    shared.trim(encoders=False)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, keep_at: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:

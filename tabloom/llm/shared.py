@@ -89,6 +89,17 @@ def trim(encoders: bool = True) -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release(spark: SparkSession) -> None:
+    """Between the steps of a long operator: let the driver's JVM collect its garbage.
+
+    Every stage and broadcast leaves blocks of some MB there, and its heap grows by them long before it would collect by itself.
+    Spark also drops broadcasts and shuffle files only once their handles have been collected."""
+    import gc
+
+    gc.collect()  # handles of frames that only Python still holds
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """``name``, lengthened until no column of ``frames`` is called so in any case."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -149,6 +149,20 @@ def test_components(spark, shape):
     got = {x.node: x.component for x in components.components(df).collect()}
     want = {x: find(x) for x in {y for p in pairs if p[0] != p[1] for y in p}}
     assert got == want
+    for few in (12, 1000):  # the last edges, or all, in one task
+        assert {x.node: x.component for x in components.components(df, few=few).collect()} == want
+    assert components.components(df.limit(0), few=12).count() == 0
+
+
+def test_few_edges_cost_the_driver_few_jobs(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    jobs = {}
+    for few in (0, 1000):
+        spark.sparkContext.setJobGroup(f"few-{few}", "")
+        components.components(edges, few=few)
+        jobs[few] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"few-{few}"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert jobs[1000] <= 6 < jobs[0]
 
 
 KINDS = [

@@ -302,6 +302,18 @@ def test_threshold_is_exact(spark):
     assert got == brute_components(enumerate(texts))
 
 
+def test_small_joins_spare_the_driver(spark, monkeypatch):
+    """Few links take no rounds of queries, and what rounds leave on the driver is collected before the next."""
+    texts = [prose(1, 60) + f" end{i}" for i in range(30)] + [prose(2, 80), prose(3, 50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tags, released, settle, release = [], [], jaccard.shared.settle, jaccard.shared.release
+    monkeypatch.setattr(jaccard.shared, "settle", lambda f, tag, *a, **k: (tags.append(tag), settle(f, tag, *a, **k))[1])
+    monkeypatch.setattr(jaccard.shared, "release", lambda s: (released.append(len(tags)), release(s))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_components(df, bits=16).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+    assert "jaccard-up" not in tags and len(released) >= 3 and released[-1] == len(tags)
+
+
 def test_jaccard_edges(spark, edges, nothing):
     assert jaccard.near_components(nothing, bits=16).count() == 0
     got = jaccard.near_components(edges, bits=16)

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,6 +230,46 @@ def test_svd_rebuilds_counts(spark):
             assert float(counts[i] @ counts[j]) == pytest.approx(sum(a * b for a, b in zip(parts[i], parts[j], strict=True)), abs=1e-4)
 
 
+def test_svd_of_few_documents_with_close_directions(spark):
+    """Like days by customers: MLlib's solver ended with an error, as the second and third direction are nearly of one length."""
+    cells = spark.range(120_000).select((F.xxhash64("id") % 31).alias("h"), F.col("id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("r"))
+    tokens = cells.select(F.pmod(F.xxhash64("id", "r"), F.lit(31)).alias("doc"), F.format_string("cust%06d", "id").alias("token")).groupBy("doc", "token").agg(F.count("*").alias("n"))
+    docs = latent.counted(tokens).persist()
+    rows = {r.doc: r.counts for r in docs.collect()}
+    parts = {r.doc: np.array(r.v, dtype=float) for r in latent.svd(docs, 2).collect()}
+    docs.unpersist()
+    names = sorted(rows)
+    dense = np.array([rows[d].toArray() for d in names])
+    w, u = np.linalg.eigh(dense @ dense.T)
+    mine = np.array([parts[d] for d in names])
+    assert len(names) == 31 and dense.shape[1] == 120_000
+    for c in range(2):
+        theirs = u[:, -1 - c] * w[-1 - c] ** 0.5
+        right = dense.T @ theirs
+        theirs = theirs * np.sign(right[np.abs(right).argmax()])
+        assert mine[:, c] == pytest.approx(theirs, rel=1e-4, abs=1e-3 * np.abs(theirs).max())
+
+
+@pytest.mark.parametrize("small", [0, 1024])
+def test_svd_is_the_same_on_either_side(spark, monkeypatch, small):
+    monkeypatch.setattr(latent, "SMALL", small)
+    for docs_n, tokens_n in ((12, 200), (200, 12), (150, 140)):
+        cells = spark.range(docs_n * 8).select((F.col("id") % docs_n).alias("doc"), F.format_string("tok%04d", F.pmod(F.xxhash64("id"), F.lit(tokens_n))).alias("token"), (1 + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(9))).alias("n"))
+        docs = latent.counted(cells.groupBy("doc", "token").agg(F.sum("n").alias("n")))
+        rows, parts = {r.doc: r.counts.toArray() for r in docs.collect()}, {r.doc: r.v for r in latent.svd(docs, 3).collect()}
+        dense = np.array([rows[d] for d in sorted(rows)])
+        _, _, right = np.linalg.svd(dense, full_matrices=False)
+        v = right[:3].T
+        v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(3)])
+        assert np.array([parts[d] for d in sorted(rows)]) == pytest.approx(dense @ v, abs=1e-3)
+
+
+def test_svd_of_few_documents_pads_beyond_the_rank(spark):
+    cells = spark.createDataFrame([(d, f"t{i}", (d + 1) * (i + 1)) for d in range(2) for i in range(5)], "doc long, token string, n long")
+    parts = {r.doc: r.v for r in latent.svd(latent.counted(cells), 3).collect()}
+    assert parts[0] == pytest.approx([55**0.5, 0, 0], abs=1e-5) and parts[1] == pytest.approx([2 * 55**0.5, 0, 0], abs=1e-5)
+
+
 def test_lda_uses_every_document(spark):
     tokens = spark.range(200).select(F.col("id").alias("doc"), F.concat(F.lit("own"), "id").alias("token"), F.lit(50).cast("long").alias("n"))
     weights = latent.topics_of(latent.counted(tokens), 2).topicsMatrix().toArray().sum(axis=1)

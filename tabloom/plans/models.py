@@ -1,6 +1,6 @@
-"""Model wrappers with one contract: ``train(tr, va)``, ``predict(df)``, ``save(path)``, ``load(path)``.
+"""Model wrappers with one contract: ``train(tr, va)``, ``predict(df)``, ``predicted(df)``, ``save(path)``, ``load(path)``.
 
-Frames have ``_row_id``, ``y`` and the feature columns; predictions are (_row_id, pred). Estimators are Spark's own, so a fit
+Frames have ``_row_id``, ``y`` and the feature columns; predictions are (_row_id, pred), or a column beside the rows. Estimators are Spark's own, so a fit
 is distributed. Where the usual library is absent the nearest MLlib estimator stands in, and parameters keep their names.
 """
 
@@ -25,7 +25,7 @@ from ..functions import metrics
 from ..functions.expr import known
 from ..sources import io
 
-Y, PRED, VALID = "y", "pred", "_valid"
+Y, PRED, VALID, KEPT = "y", "pred", "_valid", "_kept"
 # Parameters about messages, files and machines, which change no result, and names of the usual metric and method.
 NO_EFFECT = frozenset({"verbosity", "verbose", "silent", "allow_writing_files", "task_type", "n_jobs", "nthread", "num_threads", "thread_count", "metric", "eval_metric", "boosting", "boosting_type", "booster"})
 
@@ -64,7 +64,7 @@ class Model:
             else:
                 cols.append(F.coalesce(known(df, c).cast("double"), F.lit(self.missing)).alias(f"n_{c}"))
                 names.append(f"n_{c}")
-        keep = [x for x in (ROW_ID, Y, VALID) if x in df.columns]
+        keep = [x for x in (ROW_ID, Y, VALID, KEPT) if x in df.columns]
         return df.select(*keep, *cols), stages, names
 
     def _bins(self, df: DataFrame) -> int:
@@ -86,8 +86,17 @@ class Model:
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
+        return self._predicted(df).select(ROW_ID, PRED)
+
+    def predicted(self, df: DataFrame, name: str = PRED) -> DataFrame:
+        """``df`` with the predictions as a column of that name; rows stay where they are, nothing is joined."""
+        kept = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != name]).alias(KEPT)
+        return self._predicted(df.select("*", kept)).select(f"{KEPT}.*", F.col(PRED).alias(name))
+
+    def _predicted(self, df: DataFrame) -> DataFrame:
+        """Row id, what is kept, if anything, and the prediction."""
         out = self.model.transform(self._inputs(df)[0])
-        return out.select(ROW_ID, self.prediction(out).alias(PRED))
+        return out.select(ROW_ID, *[c for c in (KEPT,) if c in df.columns], self.prediction(out).alias(PRED))
 
     def save(self, path: str) -> None:
         io.save_model(self.model, f"{path}/model")
@@ -279,11 +288,11 @@ class ModelFocalLGBM(Model):
         rows.unpersist()
         return self
 
-    def predict(self, df: DataFrame) -> DataFrame:
+    def _predicted(self, df: DataFrame) -> DataFrame:
         out = self.prep.transform(self._inputs(df)[0]).withColumn("m", F.lit(0.0))
         for tree in self.trees:
             out = tree.transform(out).withColumn("m", F.col("m") + self.rate * F.col("step")).drop("step")
-        return out.select(ROW_ID, F.col("m").alias(PRED))
+        return out.select(ROW_ID, *[c for c in (KEPT,) if c in df.columns], F.col("m").alias(PRED))
 
     def save(self, path: str) -> None:
         io.save_model(self.prep, f"{path}/prep")
@@ -373,6 +382,9 @@ class ModelKNN(Model):
         near = nearest(self.rows, queries, int(self._get("n_neighbors", default=5)), block)
         return near.join(self.rows.select(F.col(ROW_ID).alias("other"), Y), "other").groupBy(F.col("query").alias(ROW_ID)).agg(F.avg(Y).alias(PRED))
 
+    def predicted(self, df: DataFrame, name: str = PRED) -> DataFrame:
+        return df.drop(name).join(self.predict(df).withColumnRenamed(PRED, name), ROW_ID)
+
     def save(self, path: str) -> None:
         self.rows.write.mode("overwrite").parquet(f"{path}/rows")
         io.write_json(self._spark(), {"features": self.features}, f"{path}/about.json")

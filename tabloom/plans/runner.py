@@ -145,12 +145,14 @@ class Runner:
         return stratified_kfold(df, by, ROW_ID, self.config.folds, self.config.seed)
 
     def folded(self) -> DataFrame:
-        """The training rows with a fold column, assigned once and kept, so every fold sees the same assignment."""
+        """The training rows with a fold column, assigned once and kept whole: every fold sees the same assignment, and none of
+        the passes of a fit joins features, targets and folds again."""
         if self._folded is not None:
             return self._folded
         path = f"{self.folder}/folds"
-        self.splitter(self.train, self.config.cv_y or Y).select(ROW_ID, "fold").write.mode("overwrite").parquet(path)
-        self._folded = self.train.join(self.spark.read.parquet(path), ROW_ID)
+        folds = self.splitter(self.train, self.config.cv_y or Y).select(ROW_ID, "fold")
+        self.train.join(folds, ROW_ID).write.mode("overwrite").parquet(path)
+        self._folded = self.spark.read.parquet(path)
         return self._folded
 
     def build_model(self, fold: int) -> Model:
@@ -177,7 +179,7 @@ class Runner:
         va = rows.where(F.col("fold") == fold).drop("fold")
         model = self.build_model(fold).train(tr, va)
         path = f"{self.folder}/oof/fold={fold}"
-        model.predict(va).join(va.select(ROW_ID, F.col(Y).cast("double").alias(Y)), ROW_ID).write.mode("overwrite").parquet(path)
+        model.predicted(va).select(ROW_ID, PRED, F.col(Y).cast("double").alias(Y)).write.mode("overwrite").parquet(path)
         pred = self.spark.read.parquet(path)
         score = metrics.evaluate(pred, self.config.evaluation_metric).first()[0]
         return model, pred, score

@@ -40,6 +40,34 @@ def test_run(spark, data, tmp_path):
     assert kinds == {"param", "metric"}
 
 
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_passes_of_a_run_join_nothing_again(spark, data, tmp_path):
+    r = runner.Runner(spark, CONFIG, data, str(tmp_path))
+    rows = r.folded()
+    assert _shuffles(rows) == 0 and rows.count() == 200 and set(rows.columns) == {ROW_ID, "a", "c", "y", "fold"}
+    assert sorted(map(tuple, rows.drop("fold").select(ROW_ID, "a", "c", "y").collect())) == sorted(map(tuple, r.train.select(ROW_ID, "a", "c", "y").collect()))
+    r.run_train_cv()
+    pred = {x[ROW_ID]: x.pred for x in r.run_predict_cv().collect()}
+    parts = [r.build_model(k).load(f"{tmp_path}/model/{k}").predict(r.test) for k in range(3)]
+    assert pred == pytest.approx({x[ROW_ID]: x.pred for x in runner.average_predictions(parts).collect()}, abs=1e-12)
+
+
+@pytest.mark.parametrize("name, params", [("ModelRFClassifier", {"n_estimators": 3}), ("ModelFocalLGBM", {"num_boost_round": 3}), ("ModelKNN", {"n_neighbors": 3})])
+def test_predicted_keeps_the_rows(spark, data, name, params):
+    x, y, test = data
+    drop = ["c"] if name == "ModelKNN" else []
+    m = models.build(name, name, params, [c for c in ["c"] if c not in drop]).train(x.join(y, ROW_ID).drop(*drop))
+    rows = test.withColumn("features", F.lit("own")).withColumn("prediction", F.lit(7))
+    twice = m.predicted(m.predicted(rows, "p"), "q")
+    assert set(twice.columns) == {*rows.columns, "p", "q"} and twice.where("features = 'own' and prediction = 7 and p = q").count() == 100
+    if name != "ModelKNN":
+        assert _shuffles(twice) == _shuffles(rows)
+    assert {r[ROW_ID]: r.p for r in twice.collect()} == {r[ROW_ID]: r.pred for r in m.predict(test).collect()}
+
+
 def test_modes(spark, data, tmp_path):
     base = runner.Runner(spark, CONFIG, data, str(tmp_path / "a"))
     base.run_train_cv()

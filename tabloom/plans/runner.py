@@ -205,9 +205,12 @@ class Runner:
 
     # ---- prediction
     def run_predict_cv(self) -> DataFrame:
-        """Mean prediction of the test rows over the stored fold models; kept in ``pred``."""
-        parts = [self.build_model(k).load(f"{self.folder}/model/{k}").predict(self.test) for k in range(self.config.folds)]
-        average_predictions(parts).write.mode("overwrite").parquet(f"{self.folder}/pred")
+        """Mean prediction of the test rows over the stored fold models; kept in ``pred``. The rows are read once and predicted by
+        one model after the other, so what is shuffled does not grow with the number of folds."""
+        rows, names = self.test, [f"_{PRED}{k}" for k in range(self.config.folds)]
+        for k, name in enumerate(names):
+            rows = self.build_model(k).load(f"{self.folder}/model/{k}").predicted(rows, name)
+        average_predictions([rows.select(ROW_ID, F.explode(F.array(*names)).alias(PRED))]).write.mode("overwrite").parquet(f"{self.folder}/pred")
         return self.spark.read.parquet(f"{self.folder}/pred")
 
     def submission(self, sample: DataFrame, row_id: str, target: str) -> DataFrame:

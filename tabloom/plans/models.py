@@ -26,6 +26,7 @@ from ..functions.expr import known
 from ..sources import io
 
 Y, PRED, VALID, KEPT = "y", "pred", "_valid", "_kept"
+ROWS, QUERIES = 512, 128  # rows and queries that a Python worker compares at a time: 0.5 MB of distances
 # Parameters about messages, files and machines, which change no result, and names of the usual metric and method.
 NO_EFFECT = frozenset({"verbosity", "verbose", "silent", "allow_writing_files", "task_type", "n_jobs", "nthread", "num_threads", "thread_count", "metric", "eval_metric", "boosting", "boosting_type", "booster"})
 
@@ -365,8 +366,8 @@ class ModelSVM(Model):
 class ModelKNN(Model):
     """Share of positives among the k nearest rows by Euclidean distance, ties by row id.
 
-    Queries are taken in blocks of bounded size; the training rows pass by each block once, every batch sends its own k
-    nearest, and these meet in a top-k for each query. No pair of rows is ever a row of a table."""
+    Queries are taken in blocks of bounded size; the training rows pass by each block once, every task keeps and sends its own
+    k nearest, and these meet in a top-k for each query. No pair of rows is ever a row of a table."""
 
     honoured = frozenset({"n_neighbors"})
 
@@ -398,36 +399,50 @@ class ModelKNN(Model):
         return None
 
 
+def compared(held, k: int, skip_self: bool):
+    """For ``mapInArrow``: the k rows of a task that are nearest to each query held, in memory that does not grow with the batches."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        ids, q = held.value
+        # the k nearest so far of each query: places not taken are infinitely far
+        far, who = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        for b in batches:
+            ends, numbers = b.column(1).offsets.to_numpy(), b.column(1).values
+            other = b.column(0).to_numpy()
+            for lo in range(0, b.num_rows, ROWS):
+                hi = min(lo + ROWS, b.num_rows)
+                if (np.diff(ends[lo : hi + 1]) != q.shape[1]).any():
+                    raise ValueError(f"rows must have {q.shape[1]} numbers like the queries")
+                x = numbers[ends[lo] : ends[hi]].to_numpy(zero_copy_only=False).astype(np.float64).reshape(hi - lo, -1)
+                for at in range(0, len(ids), QUERIES):
+                    to = at + QUERIES
+                    d = np.stack([((x - v) ** 2).sum(axis=1) for v in q[at:to]])
+                    if skip_self:
+                        d[ids[at:to, None] == other[None, lo:hi]] = np.inf
+                    # distances that do not exist go last; rows as far as the k-th may still come before it by their id
+                    close = np.flatnonzero((d <= far[at:to, -1:]).any(axis=1))
+                    if len(close):
+                        d = np.concatenate([far[at:to][close], d[close]], axis=1)
+                        o = np.concatenate([who[at:to][close], np.broadcast_to(other[lo:hi], (len(close), hi - lo))], axis=1)
+                        top = np.lexsort((o, d))[:, :k]
+                        far[at + close], who[at + close] = np.take_along_axis(d, top, 1), np.take_along_axis(o, top, 1)
+        for at in range(0, len(ids), QUERIES):
+            ok = np.isfinite(far[at : at + QUERIES])
+            yield pa.RecordBatch.from_pydict({"query": pa.array(np.repeat(ids[at : at + QUERIES], k).reshape(ok.shape)[ok]), "other": pa.array(who[at : at + QUERIES][ok]), "distance": pa.array(np.sqrt(far[at : at + QUERIES][ok]))})
+
+    return run
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 2000, skip_self: bool = False) -> DataFrame:
     """query, other, distance: the k rows nearest to each query (columns _row_id and x, an array), exact."""
     spark, found = rows.sparkSession, []
     schema = "query long, other long, distance double"
 
-    def compared(held):
-        def run(batches):
-            import pyarrow as pa
-
-            ids, q = held.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                other = np.asarray(b.column(0).to_pylist(), dtype=np.int64)
-                x = np.asarray(b.column(1).to_pylist(), dtype=np.float64)
-                for lo in range(0, len(ids), 256):
-                    d = np.stack([((x - v) ** 2).sum(axis=1) for v in q[lo : lo + 256]])
-                    if skip_self:
-                        d[ids[lo : lo + 256, None] == other[None, :]] = np.inf
-                    top = np.lexsort((np.broadcast_to(other, d.shape), d))[:, :k]
-                    at = np.arange(len(d))[:, None]
-                    dist = np.sqrt(d[at, top])
-                    ok = np.isfinite(dist)
-                    yield pa.RecordBatch.from_pydict({"query": pa.array(np.repeat(ids[lo : lo + 256], top.shape[1]).reshape(top.shape)[ok]), "other": pa.array(other[top][ok]), "distance": pa.array(dist[ok])})
-
-        return run
-
     def of_block(part: list) -> DataFrame:
         held = spark.sparkContext.broadcast((np.array([r[0] for r in part], dtype=np.int64), np.array([r[1] for r in part], dtype=np.float64)))
-        return rows.select(ROW_ID, "x").mapInArrow(compared(held), schema)
+        return rows.select(ROW_ID, "x").mapInArrow(compared(held, k, skip_self), schema)
 
     part: list = []
     for r in queries.select(ROW_ID, "x").toLocalIterator():

@@ -291,3 +291,31 @@ def test_stream(spark, tmp_path):
     q.stop()
     got = {r.k: (r.x, r.code) for r in spark.sql("select * from fitted_out").collect()}
     assert got == {1: (-1.0, 10), 2: (1.0, 20), 3: (0.0, None)}
+
+
+@pytest.mark.parametrize("skip_self", [False, True])
+def test_neighbours_take_little_memory_and_are_exact(skip_self):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    x = np.random.default_rng(7).integers(0, 3, (20_000, 8)).astype(float)  # many ties
+    ids = np.arange(0, 20_000, 50)
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array(np.arange(lo, lo + 10_000)), "x": pa.array(list(x[lo : lo + 10_000]))}) for lo in (10_000, 0)]
+    held = SimpleNamespace(value=(ids, x[ids]))
+    tracemalloc.start()
+    found = pa.Table.from_batches(models.compared(held, 5, skip_self)(batches)).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6  # all distances of 256 queries to a batch are 20 MB, and sorting them took several times that
+    assert len(found) == 5 * len(ids)
+    mine = {}
+    for r in found:
+        mine.setdefault(r["query"], []).append((r["distance"], r["other"]))
+    for q in ids:
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        if skip_self:
+            d[q] = np.inf
+        assert mine[q] == [(d[o], o) for o in np.lexsort((np.arange(len(x)), d))[:5]]
